@@ -17,6 +17,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken
@@ -46,6 +53,13 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 """
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import report
