@@ -1,8 +1,9 @@
 """Benchmark decontamination: windows of normalised benchmark words found in documents.
 
-The windows of all items form one hash set. A bitmap of their rolling hashes, a literal of fixed width, passes few
-other windows of a document; those that pass are rendered as text and joined with the set on the text itself, which
-verifies each hit. Spark broadcasts the set where it measures it as small and shuffles both sides otherwise.
+The windows of all items form one hash set. Each window names as its anchor its longest pair of adjacent words; a
+two-bit filter over the anchors' hashes, a literal of bounded width, picks a document's candidate pairs in one pass. The
+windows around a candidate are rendered as text and joined with the set on the text itself, which verifies each hit.
+Spark broadcasts the set where it measures it as small and shuffles both sides otherwise.
 
 Defined cases: null and empty texts have no words and no hits; an item of fewer words than a window is one window; an
 item without words has none; equal items count one by one; overlapping occurrences count each word once; an empty
@@ -18,31 +19,18 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, const_array, written
 
 WINDOW = 10
-MAP_BITS = 20
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+MAP_BITS = (16, 22)
+WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def bench_words(c: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(c, F.lit(""))), NOT_WORD), lambda w: w != "")
+    """Words in their own case: A-Z are letters, so lower-casing them moves no boundary."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def rolling(words: Column, n: int) -> Column:
-    """Hashes of all n-word windows from n's binary digits: windows of 1, 2, 4 ... words joined pairwise."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-
-    def tail(c, k):
-        return F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
-
-    def joined(a, b, k):  # a's window followed by b's, k words on
-        return F.filter(F.zip_with(a, tail(b, k), lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(x, y))), lambda x: x.isNotNull())
-
-    power, at, out, width = one, 1, None, 0
-    while True:
-        if n & at:
-            out, width = (power, at) if out is None else (joined(out, power, width), width + at)
-        if at * 2 > n:
-            return out
-        power, at = joined(power, power, at), at * 2
+def pair_hash(a: Column, b: Column) -> Column:
+    """Case is folded for all letters here: that may only add candidates."""
+    return F.xxhash64(F.lower(a), F.lower(b))
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -50,66 +38,96 @@ def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     w = benchmark.select("item_id", bench_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    return w.withColumn("len", length).select("item_id", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))).alias("gram")).distinct()
-
-
-def _bitmaps(grams: DataFrame) -> dict[int, list[int]]:
-    """For each window length a bitmap of 2 ** MAP_BITS bits: as large for any benchmark."""
-    out: dict[int, list[int]] = {}
-    for n in [r.len for r in grams.select("len").distinct().collect()]:
-        h = F.element_at(rolling(F.split("gram", " "), n), 1)
-        bits = grams.filter(F.col("len") == n).select(h.bitwiseAND((1 << MAP_BITS) - 1).alias("b"))
-        rows = bits.groupBy(F.shiftright("b", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int))) as v")).collect()
-        out[n] = [0] * (1 << (MAP_BITS - 6))
-        for r in rows:
-            out[n][r.k] = r.v
-    return out
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, shared: DataFrame | None = None) -> DataFrame:
-    """(doc_id, tkey, at, len, item_id): verified occurrences; `at` is the 1-based first word."""
-    grams = written(windows(benchmark, n), "bench-grams") if shared is None else shared
-    maps = _bitmaps(grams)
-    if not maps:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("tkey"), F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).filter(F.lit(False))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), bench_words(F.col("text")).alias("w"))
-    low, six = F.lit((1 << MAP_BITS) - 1), F.lit(63)
-    found = []
-    for k, bits in maps.items():
-        table = const_array(bits)
-        hashes = rolling(F.col("w"), k)
-        marked = F.transform(hashes, lambda h, i: F.when(F.getbit(F.get(table, F.shiftright(h.bitwiseAND(low), 6).cast("int")), h.bitwiseAND(six).cast("int")) == 1, i + 1))  # noqa: B023
-        cand = F.filter(marked, lambda i: i.isNotNull())
-        found.append(F.transform(cand, lambda i: F.struct(i.alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("w", i, k), " ").alias("gram"))))  # noqa: B023
-    every = found[0] if len(found) == 1 else F.concat(*found)
-    cand = rows.select("doc_id", "tkey", F.explode(every).alias("c")).select("doc_id", "tkey", "c.at", "c.len", "c.gram")
-    return cand.join(grams, ["gram", "len"]).select("doc_id", "tkey", "at", "len", "item_id")
+    grams = w.withColumn("len", length).select("item_id", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))).alias("gram"))
+    return grams.select("item_id", "len", ascii_lower(F.col("gram")).alias("gram")).distinct()
+
+
+class Anchors:
+    """The filter: a word and the next one (the word alone for one-word windows) may be some window's anchor."""
+
+    def __init__(self, grams: DataFrame):
+        w = F.split("gram", " ")
+        longest = F.array_max(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct((F.length(F.get(w, i - 1)) + F.length(F.get(w, i))).alias("n"), (-i).alias("at"))))
+        pairs = grams.select("len", F.when(F.size(w) > 1, longest["at"]).otherwise(-1).alias("at"), w.alias("w"))
+        h = pairs.select("len", pair_hash(F.get("w", -F.col("at") - 1), F.when(F.col("len") > 1, F.get("w", -F.col("at")))).alias("h")).distinct()
+        self.lengths = sorted(r.len for r in h.select("len").distinct().collect())
+        rows = h.groupBy("h").agg(F.min("len").alias("len"))
+        self.bits = min(MAP_BITS[1], max(MAP_BITS[0], (256 * rows.count()).bit_length()))
+        low = (1 << self.bits) - 1
+        both = rows.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32).bitwiseAND(low))).alias("b"))
+        self.map = [0] * (1 << (self.bits - 6))
+        for r in both.groupBy(F.shiftright("b", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int))) as v")).collect():
+            self.map[r.k] = r.v
+
+    def has(self, h: Column) -> Column:
+        table, low, six = const_array(self.map), F.lit((1 << self.bits) - 1), F.lit(63)
+
+        def bit(x):
+            return F.getbit(F.get(table, F.shiftright(x, 6).cast("int")), x.bitwiseAND(six).cast("int")) == 1
+
+        return bit(h.bitwiseAND(low)) & bit(F.shiftrightunsigned(h, 32).bitwiseAND(low))
+
+
+def scan(docs: DataFrame, anchors: Anchors) -> DataFrame:
+    """(doc_id, tkey, n_words, near): for each candidate the words around it, `first` the place of the first."""
+    w = F.split(F.coalesce("text", F.lit("")), WORD_GAP)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), w.alias("w"))
+    # split leaves an empty piece at either end only; no window has one
+    blank = F.when(F.size("w") == 1, (F.get("w", F.lit(0)) == "").cast("long")).otherwise((F.element_at("w", 1) == "").cast("long") + (F.element_at("w", -1) == "").cast("long"))
+    hits, most = [], max(anchors.lengths, default=1)
+    if most > 1:
+        hits.append(F.transform("w", lambda x, i: F.when(anchors.has(pair_hash(x, F.get("w", i + 1))), i)))
+    if 1 in anchors.lengths:
+        hits.append(F.transform("w", lambda x, i: F.when(anchors.has(pair_hash(x, F.lit(None).cast("string"))), i)))
+    at = F.array_compact(F.concat(*hits)) if hits else F.array().cast("array<int>")
+    rows = rows.select("doc_id", "tkey", "w", (F.size("w") - blank).cast("long").alias("n_words"), at.alias("at"))
+
+    def around(i):
+        first = F.greatest(i - most + 2, F.lit(0))
+        return F.struct(first.alias("first"), F.slice("w", first + 1, F.lit(2 * most)).alias("w"))
+
+    return rows.select("doc_id", "tkey", "n_words", F.transform("at", around).alias("near"))
+
+
+def hits(scanned: DataFrame, grams: DataFrame, anchors: Anchors) -> DataFrame:
+    """(doc_id, tkey, at, len, item_id): verified occurrences; `at` counts words from the text's first piece."""
+    near = scanned.select("doc_id", "tkey", F.explode("near").alias("c")).select("doc_id", "tkey", "c.first", F.transform("c.w", ascii_lower).alias("w"))
+
+    def windows_of(k):
+        return F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct((F.col("first") + i).alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("w", i, k), " ").alias("gram")))
+
+    each = [windows_of(k) for k in anchors.lengths]
+    each = [F.when(F.size("w") >= k, x).otherwise(F.array().cast("array<struct<at:int,len:int,gram:string>>")) for k, x in zip(anchors.lengths, each)]
+    cand = near.select("doc_id", "tkey", F.explode(F.flatten(F.array(*each))).alias("c")).select("doc_id", "tkey", "c.at", "c.len", "c.gram")
+    return cand.join(grams, ["gram", "len"]).select("doc_id", "tkey", "at", "len", "item_id").distinct()
+
+
+def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame | None]:
+    """(every row's doc_id, tkey and n_words; the hits, or None where the benchmark has no words)."""
+    grams = written(windows(benchmark, n), "bench-grams")
+    anchors = Anchors(grams)
+    scanned = written(scan(docs, anchors), "bench-scan")
+    return scanned.select("doc_id", "tkey", "n_words"), hits(scanned, grams, anchors) if anchors.lengths else None
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(docs, benchmark, n).distinct().groupBy("doc_id", "tkey").agg(
+    rows, found = search(docs, benchmark, n)
+    zero, nothing = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
+    if found is None:
+        return rows.select("doc_id", "n_words", zero.alias("n_hit"), zero.alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
+    found = found.groupBy("doc_id", "tkey").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
         F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"),
     )
-    found = found.select("doc_id", "tkey", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), count_words(F.col("text")).alias("n_words"))
-    f = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("tkey", "_tkey")
-    out = rows.join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
-
-
-def count_words(c: Column) -> Column:
-    """size(bench_words(c)); letters' case does not move a boundary."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    ends = (F.element_at(parts, 1) == "").cast("long") + (F.element_at(parts, -1) == "").cast("long")
-    return F.when(F.size(parts) == 1, (F.element_at(parts, 1) != "").cast("long")).otherwise(F.size(parts).cast("long") - ends)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
 
 
 def covered(spans: Column) -> Column:
     """Words under sorted (at, len) spans, overlaps once."""
-    start = F.struct(F.lit(1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
 
     def add(acc, s):
         end = (s["at"] + s["len"]).cast("long")
@@ -119,26 +137,37 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: acc["n"])
 
 
+def _spans(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame | None:
+    rows, found = search(docs, benchmark, n)
+    if found is None:
+        return None
+    found = found.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"))
+    words = rows.groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t")).agg(F.first("n_words").alias("_words"))
+    found = found.join(words, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tkey") == F.col("_t")))
+    return written(found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), covered(F.col("spans")).alias("_hit"), "_words", F.col("spans").alias("_spans")), "bench-spans")
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: float = 0.0) -> DataFrame:
     """docs without those of which more than a share `most` of the words is hit."""
-    bad = report_by_key(docs, benchmark, n).filter(F.col("_hit") > F.lit(most) * F.col("_words")).select("_id", "_tkey").distinct()
+    found = _spans(docs, benchmark, n)
+    if found is None:
+        return docs
+    bad = found.filter(F.col("_hit") > F.lit(most) * F.col("_words")).select("_id", "_tkey")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left_anti")
 
 
-def report_by_key(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    found = hits(docs, benchmark, n).distinct().groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), covered(F.col("spans")).alias("_hit"), "spans")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), count_words(F.col("text")).alias("_words"))
-    return found.join(rows, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("tkey") == F.col("_tkey"))).select("_id", "_tkey", "_hit", "_words", "spans")
-
-
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs in which hit words are gone; a text with hits becomes its other words, with what stood before each."""
-    found = report_by_key(docs, benchmark, n).select("_id", "_tkey", "spans").dropDuplicates(["_id", "_tkey"])
+    """docs without the hit words; what stood between words stays."""
+    found = _spans(docs, benchmark, n)
+    if found is None:
+        return docs
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    gaps, toks = F.split("text", word), F.regexp_extract_all("text", F.lit(word), 0)
-    held = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
-    kept = F.array_join(F.transform(toks, lambda w, i: F.concat(F.get(gaps, i), F.when(F.array_contains(held, i + 1), "").otherwise(w))), "")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(kept, F.element_at(gaps, -1)))
+    gaps, words = F.split("text", word), F.regexp_extract_all("text", F.lit(word), 0)
+    lead = (F.get(F.split("text", WORD_GAP), F.lit(0)) == "").cast("int")  # places count an empty first piece
+    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - lead, s["at"] - lead + s["len"] - 1)))
+    held = F.map_from_arrays(F.array_distinct(held), F.transform(F.array_distinct(held), lambda i: F.lit(True)))
     rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left")
+    rows = rows.withColumns({"_held": held, "_words_": words, "_gaps": gaps})
+    kept = F.array_join(F.transform("_words_", lambda w, i: F.concat(F.get("_gaps", i), F.when(F.try_element_at("_held", i + 1).isNotNull(), "").otherwise(w))), "")
+    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.concat(kept, F.element_at("_gaps", -1)))
     return rows.withColumn("_new", text).select(*[F.col("_new").alias(c) if c == "text" else docs[c] for c in docs.columns])
