@@ -24,6 +24,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import report
+
+    return report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken
@@ -53,6 +60,13 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 """
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import report
