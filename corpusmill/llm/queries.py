@@ -60,6 +60,27 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 """
 
 
+@query
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS x FROM g JOIN m USING (g) WHERE doc_id > low),
+a AS (SELECT doc_id, list(x) AS gone FROM c GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS x FROM d JOIN a USING (doc_id)),
+k AS (SELECT u.doc_id, string_agg(u.v, ' ' ORDER BY u.x) AS kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.x = c.x WHERE c.x IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
