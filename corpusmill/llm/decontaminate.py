@@ -156,18 +156,19 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mos
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without the hit words; what stood between words stays."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: float = 1.0) -> DataFrame:
+    """docs without the hit words and what stood before each; documents of which more than a share `most` is hit go."""
     found = _spans(docs, benchmark, n)
     if found is None:
         return docs
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    gaps, words = F.split("text", word), F.regexp_extract_all("text", F.lit(word), 0)
     lead = (F.get(F.split("text", WORD_GAP), F.lit(0)) == "").cast("int")  # places count an empty first piece
-    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - lead, s["at"] - lead + s["len"] - 1)))
-    held = F.map_from_arrays(F.array_distinct(held), F.transform(F.array_distinct(held), lambda i: F.lit(True)))
     rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left")
-    rows = rows.withColumns({"_held": held, "_words_": words, "_gaps": gaps})
-    kept = F.array_join(F.transform("_words_", lambda w, i: F.concat(F.get("_gaps", i), F.when(F.try_element_at("_held", i + 1).isNotNull(), "").otherwise(w))), "")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.concat(kept, F.element_at("_gaps", -1)))
-    return rows.withColumn("_new", text).select(*[F.col("_new").alias(c) if c == "text" else docs[c] for c in docs.columns])
+    rows = rows.filter(F.col("_hit").isNull() | (F.col("_hit") <= F.lit(most) * F.col("_words")))
+    hit = F.col("_spans").isNotNull()  # only these texts are split
+    rows = rows.withColumns({"_gaps": F.when(hit, F.split("text", word)), "_word": F.when(hit, F.regexp_extract_all("text", F.lit(word), 0)), "_lead": lead})
+    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - F.col("_lead"), s["at"] - F.col("_lead") + s["len"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_word") - 1), held)
+    text = F.concat(F.array_join(F.transform(left, lambda i: F.concat(F.get("_gaps", i), F.get("_word", i))), ""), F.element_at("_gaps", -1))
+    rows = rows.withColumn("_new", F.when(hit, text).otherwise(docs["text"]))
+    return rows.select(*[F.col("_new").alias(c) if c == "text" else docs[c] for c in docs.columns])
