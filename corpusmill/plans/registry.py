@@ -9,3 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "i2_hybrid"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with the SQL that makes the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import text_queries, retrieval_queries, evaluation_queries, source_queries  # noqa: E402, F401  they register themselves
