@@ -26,7 +26,8 @@ def z_score(score: Column, over) -> Column:
     return F.when(std < FLAT, 0.0).otherwise((score - F.avg(score).over(over)) / std)
 
 
-BY_QUERY = W.partitionBy("query_id")
+def by_query():
+    return W.partitionBy("query_id")
 
 
 def _summed(parts: list[DataFrame]) -> DataFrame:
@@ -44,7 +45,7 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: float = RRF_K) -> DataFrame:
 def linear(dense: DataFrame, sparse: DataFrame, weight: float = 0.5) -> DataFrame:
     """weight times the dense list's min-max score and the rest times the sparse one's; an absent score is 0."""
     w = (weight, 1 - weight)
-    return _summed(_parts([dense, sparse], lambda i: min_max(F.col("score"), BY_QUERY) * w[i]))
+    return _summed(_parts([dense, sparse], lambda i: min_max(F.col("score"), by_query()) * w[i]))
 
 
 convex = linear
@@ -52,14 +53,14 @@ convex = linear
 
 def dbsf(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """Sums of z-scores."""
-    return _summed(_parts([dense, sparse], lambda _: z_score(F.col("score"), BY_QUERY)))
+    return _summed(_parts([dense, sparse], lambda _: z_score(F.col("score"), by_query())))
 
 
 def union(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """All results, the dense ones first in their order; scores are as they were."""
     both = dense.select("query_id", "chunk_id", F.lit(0).alias("source"), "rank", "score").unionByName(sparse.select("query_id", "chunk_id", F.lit(1).alias("source"), "rank", "score"))
     first = both.groupBy("query_id", "chunk_id").agg(F.min(F.struct("source", "rank", "score")).alias("f"))
-    order = BY_QUERY.orderBy("f.source", "f.rank", "chunk_id")
+    order = by_query().orderBy("f.source", "f.rank", "chunk_id")
     return first.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"), F.col("f.score").alias("score"))
 
 
@@ -70,7 +71,7 @@ def intersection(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def three_way(dense: DataFrame, sparse: DataFrame, multi: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
-    return _summed(_parts([dense, sparse, multi], lambda i: min_max(F.col("score"), BY_QUERY) * weights[i]))
+    return _summed(_parts([dense, sparse, multi], lambda i: min_max(F.col("score"), by_query()) * weights[i]))
 
 
 STRATEGIES = {"rrf": rrf, "linear": linear, "convex": convex, "dbsf": dbsf, "union": union, "intersection": intersection}
