@@ -146,16 +146,17 @@ def contract(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, tkey, fp, component_id); tkey is a hash of the text, for a join back."""
+    """(doc_id, tkey, fp, component_id, root); tkey is a hash of the text, for a join back, root some fingerprint of the component."""
     rows = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("tkey"), "fp"), "simhash")
     ids = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-ids")
     root = contract(links(ids.select("fp"), distance))
     linked = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     linked = linked.join(ids, F.col("node") == ids.fp).select("node", "root", "id")
     least = linked.groupBy("root").agg(F.min("id").alias("low"))
-    linked = linked.join(least, "root").select("node", "low")
-    by_fp = ids.join(linked, ids.fp == F.col("node"), "left").select(ids.fp.alias("_fp"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
-    return rows.join(by_fp, rows.fp == F.col("_fp")).select("doc_id", "tkey", "fp", "component_id")
+    linked = linked.join(least, "root").select("node", "low", "root")
+    by_fp = ids.join(linked, ids.fp == F.col("node"), "left").select(ids.fp.alias("_fp"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", ids.fp).alias("root"))
+    by_fp = written(by_fp, "simhash-roots")  # a plain table on either side of the join, so Spark can split a hot fingerprint
+    return rows.join(by_fp, rows.fp == F.col("_fp")).select("doc_id", "tkey", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -164,8 +165,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of the smallest id."""
+    """docs with one row of each component: that of the smallest id, null last."""
     found = written(components(docs, distance), "simhash-groups")
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tkey").alias("_tkey"))
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tkey").alias("_tkey"))
     rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")))
     return rows.dropDuplicates(["_id", "_tkey"]).select(*docs.columns)
