@@ -9,7 +9,7 @@ is its share of the likelihoods.
 Bytes are folded to 64 symbols: letters without case, white space and controls, digits, other ASCII, UTF-8
 continuation bytes by five bits, three kinds of leading bytes.
 
-Learning takes `PER_LANG` documents of each language at most, those of the smallest hashes, each whole. Everything
+Learning takes `PER_LANG` different texts of each language at most, those of the smallest hashes, each whole. Everything
 else covers all documents and whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled rows all are `und`;
@@ -150,13 +150,20 @@ def fold_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def hash_bound(share: Column) -> Column:
+    """The 64-bit hash, as a double, below which this share of all hashes lies."""
+    return F.least(share, F.lit(1.0)) * float(1 << 64) - float(1 << 63)
+
+
 def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model from (doc_id, text, lang). Texts are counted on the executors; the driver gets counts by code."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang)
-    ids = written(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "lang-sample")
-    texts = rows.join(ids, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["lang"] == F.col("_lang"))).select("lang", "text")
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    # from a language's number of texts follows the hash below which some four times as many lie as are wanted
+    share = rows.groupBy("lang").agg((4.0 * per_lang / F.approx_count_distinct("h")).alias("_share")).withColumnRenamed("lang", "_lang")
+    low = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.col("h") < hash_bound(F.col("_share")))
+    low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    texts = low.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_n") <= per_lang).select("lang", "text")
+    texts = written(texts, "lang-sample").repartition(F.xxhash64("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
