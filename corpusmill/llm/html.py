@@ -37,6 +37,8 @@ NOISE = set(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "form", "alert"}
 GOOD = set("article body content entry main page post story text blog".split())
 TEXTUAL = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "figcaption"}
+#: Beside the best container these are kept unless they are links.
+PROSE = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure"}
 SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 
 
@@ -241,7 +243,7 @@ def main_text(html: str | None) -> str:
     for x in best.up.own:
         if isinstance(x, str):
             continue
-        own = x is best or (not x.drop and ((x.points or 0) >= limit or x.tag == "p" and x.text > 80 and _density(x) < 0.25))
+        own = x is best or (not x.drop and ((x.points or 0) >= limit or x.tag in PROSE and _density(x) < 0.25))
         if own:
             keep.append(x)
     return _render(keep)
