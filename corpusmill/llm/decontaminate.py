@@ -167,7 +167,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: f
     rows = rows.filter(F.col("_hit").isNull() | (F.col("_hit") <= F.lit(most) * F.col("_words")))
     hit = F.col("_spans").isNotNull()  # only these texts are split
     rows = rows.withColumns({"_gaps": F.when(hit, F.split("text", word)), "_word": F.when(hit, F.regexp_extract_all("text", F.lit(word), 0)), "_lead": lead})
-    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - F.col("_lead"), s["at"] - F.col("_lead") + s["len"] - 1)))
+    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - F.col("_lead") - 1, s["at"] - F.col("_lead") + s["len"] - 2)))  # at counts from 1
     left = F.array_except(F.sequence(F.lit(0), F.size("_word") - 1), held)
     text = F.concat(F.array_join(F.transform(left, lambda i: F.concat(F.get("_gaps", i), F.get("_word", i))), ""), F.element_at("_gaps", -1))
     rows = rows.withColumn("_new", F.when(hit, text).otherwise(docs["text"]))
