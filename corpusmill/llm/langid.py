@@ -150,6 +150,11 @@ def fold_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def enough(n: int) -> float:
+    """So many rows must be expected below a random bound that n are surely there."""
+    return n + 8 * n**0.5
+
+
 def hash_bound(share: Column) -> Column:
     """The 64-bit hash, as a double, below which this share of all hashes lies."""
     return F.least(share, F.lit(1.0)) * float(1 << 64) - float(1 << 63)
@@ -158,10 +163,13 @@ def hash_bound(share: Column) -> Column:
 def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model from (doc_id, text, lang). Texts are counted on the executors; the driver gets counts by code."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    # from a language's number of texts follows the hash below which some four times as many lie as are wanted
-    share = rows.groupBy("lang").agg((4.0 * per_lang / F.approx_count_distinct("h")).alias("_share")).withColumnRenamed("lang", "_lang")
-    low = rows.join(share, F.col("lang") == F.col("_lang")).filter(F.col("h") < hash_bound(F.col("_share")))
-    low = low.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    # from a language's number of texts follows the hash below which enough, and hardly more, of them lie
+    bounds = rows.groupBy("lang").agg((1.3 * enough(per_lang) / F.approx_count_distinct("h")).alias("share")).select("lang", hash_bound(F.col("share")).alias("low")).collect()
+    if not bounds:
+        return Model({})
+    # a row per language, as the model itself has a table per language; the texts need no join
+    bound = F.create_map(*[F.lit(x) for r in bounds for x in (r.lang, r.low)])
+    low = rows.filter(F.col("h") < F.try_element_at(bound, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts = low.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("_n") <= per_lang).select("lang", "text")
     texts = written(texts, "lang-sample").repartition(F.xxhash64("text"))
 
