@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .langid import fold_remainder
+from .langid import enough, fold_remainder, hash_bound
 
 EXAMPLES = (1500, 3000)  # label 1, label 0
 VOCAB = 768
@@ -148,8 +148,11 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[
     rows = written(rows, "toxic-rows")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("label") == 1, EXAMPLES[0]).otherwise(EXAMPLES[1])
-    ids = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(EXAMPLES)).filter(F.col("_n") <= most)
+    by_label = lambda one, zero: F.when(F.col("label") == 1, F.lit(one)).otherwise(F.lit(zero))
+    # hardly more rows than are wanted lie below the bound: what is ordered follows the sample, not the table
+    share = by_label(enough(EXAMPLES[0]) / max(n.get(1, 0), 1), enough(EXAMPLES[1]) / max(n.get(0, 0), 1))
+    low = rows.filter(F.xxhash64("doc_id") < hash_bound(share))
+    ids = low.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= by_label(*EXAMPLES))
     ids = written(ids.select(F.col("doc_id").alias("_id"), "label"), "toxic-sample")
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
     return texts, (n.get(1, 0), n.get(0, 0))
