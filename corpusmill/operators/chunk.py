@@ -51,12 +51,17 @@ def fixed_size(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame
     step = max(size - overlap, 1)
     n = F.length("content")
     count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
-    start = lambda i: i * step + 1
-    # only the text between two windows is measured for the byte offset of the next
-    widths = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.octet_length(F.substr("content", start(i), F.lit(step))))
-    rows = with_content(docs).select("doc_id", "content", F.posexplode(running_sums(widths)).alias("position", "at"))
-    text = F.substr("content", F.col("position") * step + 1, F.lit(size))
-    return _named(rows.select("doc_id", "position", text.alias("content"), F.col("at").alias("start_offset"), (F.col("at") + F.octet_length(text)).alias("end_offset")))
+    # the text is walked once, into pieces of a step each; a window is some neighbouring pieces
+    pieces = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    parts = -(-size // step)
+
+    def windows(s: Column) -> Column:
+        text = lambda i: F.substr(F.array_join(F.slice(s["p"], i + 1, F.lit(parts)), ""), F.lit(1), F.lit(size))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(text(i).alias("content"), F.get(s["at"], i).alias("start_offset")))
+
+    placed = let(pieces, lambda p: F.struct(p.alias("p"), running_sums(F.transform(p, lambda x: F.octet_length(x))).alias("at")))
+    rows = with_content(docs).select("doc_id", F.posexplode(let(placed, windows)).alias("position", "c"))
+    return _named(rows.select("doc_id", "position", "c.content", "c.start_offset", (F.col("c.start_offset") + F.octet_length("c.content")).alias("end_offset")))
 
 
 def _grouped(parts: Column, most: int, step: int, joint: str) -> Column:
