@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import context as CX
 from ..operators import evaluate as EV
+from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..sources.tables import stored, table
 from . import sql as Q
 from .registry import query
-from .retrieval_queries import dense_list, hybrid_list
+from .retrieval_queries import dense_list, hybrid_list, sparse_list
 
 # ---- contexts of the hybrid results
 
@@ -129,6 +130,25 @@ def m12_by_domain(spark, sf_dir):
     return M.eval_aggregate(M.eval_per_query(judged(spark, sf_dir)))
 
 
+_MODES = (
+    f"WITH {Q.lists(10)}, f AS (SELECT * FROM {Q.fused('SELECT query_id, chunk_id, 1 / (60::DOUBLE + rank) AS part FROM d UNION ALL SELECT query_id, chunk_id, 1 / (60::DOUBLE + rank) FROM s')} WHERE rank <= 10), "
+    "a AS (SELECT 'dense' AS mode, query_id, chunk_id, rank FROM d UNION ALL SELECT 'sparse', query_id, chunk_id, rank FROM s UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM f), "
+    "h AS (SELECT mode, query_id, rank, contains(t.text, b.text) AS hit FROM a JOIN documents t ON t.doc_id = a.chunk_id JOIN benchmark b ON b.item_id = a.query_id)"
+)
+
+
+@query(f"{_MODES}, z AS (SELECT mode, query_id, coalesce(1::DOUBLE / min(rank) FILTER (hit), 0) AS mrr, bool_or(hit AND rank <= 5)::INT::DOUBLE AS hit FROM h GROUP BY ALL) SELECT mode, count(*) AS num_queries, round(avg(mrr), 4) AS mrr, round(avg(hit), 4) AS hit_rate_5 FROM z GROUP BY mode")
+def m19_modes(spark, sf_dir):
+    """Dense, sparse and hybrid retrieval of the passages, side by side; documents that hold the passage are relevant."""
+    d, s = stored(dense_list(spark, sf_dir, 10), "dense"), stored(sparse_list(spark, sf_dir, 10), "sparse")
+    found = [x.select(F.lit(m).alias("domain"), "query_id", "chunk_id", "rank") for m, x in (("dense", d), ("sparse", s), ("hybrid", FU.hybrid(d, s, 10)))]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = rows.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id")
+    rows = rows.select(F.col("query_id").cast("string").alias("query"), "domain", "rank", F.coalesce(F.contains("content", "passage"), F.lit(False)).alias("relevant"), F.lit(0.0).alias("latency_s"))
+    return M.eval_aggregate(M.eval_per_query(rows)).filter("domain is not null").select(F.col("domain").alias("mode"), "num_queries", "mrr", "hit_rate_5")
+
+
 @query(f"{_D}, {_J} SELECT query_id::VARCHAR AS query, rank, rel AS relevant FROM j")
 def m13_judged(spark, sf_dir):
     return judged(spark, sf_dir).select("query", "rank", "relevant")

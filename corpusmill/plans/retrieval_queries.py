@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import multivector as MV
 from ..operators import ranking as RK
 from ..operators import rerank as R
+from ..operators import store as ST
 from ..operators.sparse import SparseIndex
 from ..sources.tables import stored, table
 from . import sql as Q
@@ -76,6 +77,15 @@ def g6_sparse_retriever(spark, sf_dir):
     return sparse_list(spark, sf_dir, 5).join(chunks(spark, sf_dir), "chunk_id").select("query_id", "chunk_id", "rank", "score", F.md5("content").alias("content_md5"))
 
 
+@query(
+    f"WITH {Q.POSTINGS.replace(' AND t NOT IN (' + Q.listed(Q.STOPWORDS) + ')', '')} SELECT * FROM "
+    + Q.top("(" + Q.BM25.replace("2.2::DOUBLE", "3.0::DOUBLE").replace("1.2::DOUBLE", "2.0::DOUBLE").replace("0.25::DOUBLE", "0.5::DOUBLE").replace("0.75::DOUBLE", "0.5::DOUBLE") + ")", 10)
+)
+def g5_parameters(spark, sf_dir):
+    """Other k1 and b, and no stopwords."""
+    return SparseIndex.build(chunks(spark, sf_dir), 2.0, 0.5, stopwords=[]).search(asked(spark, sf_dir), 10)
+
+
 # ---- dense
 
 
@@ -106,6 +116,20 @@ def h2_euclidean_topk(spark, sf_dir):
     return dense_list(spark, sf_dir, 10, "euclidean")
 
 
+@query(f"WITH {Q.VECTORS} SELECT query_id, chunk_id, rank, score, md5(text) AS content_md5 FROM {Q.top('(' + Q.vector_scores() + ')', 5)} JOIN documents ON chunk_id = doc_id")
+def h4_dense_retriever(spark, sf_dir):
+    return dense_list(spark, sf_dir, 5).join(chunks(spark, sf_dir), "chunk_id").select("query_id", "chunk_id", "rank", "score", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT vec_id AS chunk_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id % 10 = 3 AND vec_id % 4 <> 1")
+def h3_get_and_remove(spark, sf_dir):
+    """A store without some vectors, asked for others by id."""
+    v, _ = vectors(spark, sf_dir)
+    left = ST.without(v, v.filter("chunk_id % 4 = 1").select("chunk_id"), "chunk_id")
+    got = left.join(v.filter("chunk_id % 10 = 3").select("chunk_id"), "chunk_id", "left_semi")
+    return got.select("chunk_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
 # ---- fusion
 
 
@@ -123,6 +147,11 @@ def i5_linear(spark, sf_dir):
     return FU.linear(*both(spark, sf_dir), 0.7)
 
 
+@query(_fusion_sql(Q.fused(f"{Q.min_max('d', 0.2)} UNION ALL {Q.min_max('s', 0.8)}")))
+def i6_convex(spark, sf_dir):
+    return FU.fuse("convex", *both(spark, sf_dir), weight=0.2)
+
+
 _Z = "SELECT query_id, chunk_id, CASE WHEN stddev_pop(score) OVER z < 1.1920929e-7 THEN 0.0::DOUBLE ELSE (score - avg(score) OVER z) / stddev_pop(score) OVER z END AS part FROM {} WINDOW z AS (PARTITION BY query_id)"
 
 
@@ -326,6 +355,19 @@ def k4_noop(spark, sf_dir):
     return R.rerank(pool(spark, sf_dir), R.composite_score([]), 5)
 
 
+@query("SELECT d::INT AS dim, b::INT AS nbits, ((d * b + 7) // 8)::INT AS packed FROM (SELECT unnest([16, 63, 128]) AS d), (SELECT unnest([2, 4]) AS b)")
+def j15_packed_sizes(spark, sf_dir):
+    rows = [(d, b, MV.Codec(np.zeros((1, d)), np.zeros((d, 1)), np.zeros((d, 1)), b).packed_size) for d in (16, 63, 128) for b in (2, 4)]
+    return spark.createDataFrame(rows, "dim int, nbits int, packed int")
+
+
+@query(f"{_POOL.replace('20)', '9)')} SELECT * FROM {Q.top(f'(SELECT query_id, chunk_id, round(v, 6) AS score FROM {_LEX})', 3)}")
+def k5_pool(spark, sf_dir):
+    """Three times as many candidates as are kept."""
+    q = asked(spark, sf_dir).withColumn("text", F.array_join(F.slice(F.split("text", " "), 3, 6), " "))
+    return R.rerank(R.candidates(sparse_list(spark, sf_dir, 20), q, chunks(spark, sf_dir), 9), R.lexical_score(F.col("query"), F.col("content")), 3)
+
+
 @query()
 def m22_pipeline(spark, sf_dir):
     """Chunks, vectors and postings of all documents, then contexts for the benchmark's passages."""

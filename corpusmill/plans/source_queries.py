@@ -186,6 +186,14 @@ def c4_remove_by_source(spark, sf_dir):
     return store.documents.read().select("doc_id", F.md5("content").alias("content_md5"), F.col("chunk_count").cast("int").alias("chunk_count"))
 
 
+@query("SELECT count(*) AS documents, count(*) AS chunks, 0 AS fingerprints, '2.0.0' AS schema_version FROM documents WHERE coalesce(text, '') <> ''")
+def c7_stats(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")).filter("content <> ''")
+    store = _store(spark)
+    store.insert(_rows(old), old.select(F.col("path").alias("doc_id"), F.concat("path", F.lit("#0")).alias("chunk_id"), F.lit(0).alias("position"), "content"))
+    return store.stats().withColumn("schema_version", F.lit(store.get("schema_version")))
+
+
 @query()
 def c9_full_text(spark, sf_dir):
     q = asked(spark, sf_dir).withColumn("text", F.array_join(F.slice(F.split("text", " "), 2, 2), " "))
