@@ -95,6 +95,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import melodies, report
+
+    return report(melodies(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import report
