@@ -31,7 +31,7 @@ from .common import written
 WINDOW = 13
 BUCKETS = 12  # bits of a prefix word that tell prefixes apart
 DEPTH = 5  # words of the longest prefix
-CAPACITY = 4_000_000
+CAPACITY = 1_500_000
 LEAST_GROUPS = 48
 BLOCK = 8 << 20
 CHUNK = 1 << 20
@@ -86,21 +86,22 @@ class Prefixes:
     def __init__(self, capacity: int):
         self.capacity, self.tables, self.depth, self.open, self.groups, self.free = capacity, [np.full(1 << BUCKETS, -1, np.int64)], [1], [0], 0, 0
 
-    def table_of(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For suffixes 0 to n - 1: the group (or -1) and the last table reached with its bucket, as one number."""
-        at, group = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        todo, bucket = np.arange(n), np.zeros(n, np.int64)
+    def table_of(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffixes at these starts: the group (or -1) and the last table reached with its bucket, as one number."""
+        n, tables = len(starts), np.concatenate(self.tables).astype(np.int32)
+        at, group = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+        todo, bucket = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
         for d in range(DEPTH):
-            b = (words[todo + d] >> np.uint64(64 - BUCKETS)).astype(np.int64)
+            b = (words[starts[todo] + d] >> np.uint64(64 - BUCKETS)).astype(np.int32)
             bucket[todo] = b
-            flat = np.concatenate(self.tables)[(at[todo] << BUCKETS) + b]
+            flat = tables[(at[todo].astype(np.int64) << BUCKETS) + b]
             group[todo[flat >= 0]] = flat[flat >= 0]
             deeper = flat <= -2
             at[todo[deeper]] = -2 - flat[deeper]
             todo = todo[deeper]
             if not len(todo):
                 break
-        return group, (at << BUCKETS) + bucket
+        return group, (at.astype(np.int64) << BUCKETS) + bucket
 
     def grow(self, counts: dict[int, int]) -> bool:
         """Settles the open tables by their buckets' counts; True if new tables are open."""
@@ -152,10 +153,10 @@ def _windows(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """All words, the places where a window starts, and each place's number of its document."""
     n = np.array([len(w) for w in words])
     flat = np.concatenate([*words, np.zeros(WINDOW, np.uint64)])
-    doc = np.repeat(np.arange(len(words)), n)
-    end = np.cumsum(n)
-    at = np.flatnonzero(np.arange(len(doc)) + WINDOW <= end[doc])
-    return flat, at, doc[at]
+    windows, before = n - WINDOW + 1, np.cumsum(n) - n  # no document is shorter than a window
+    doc = np.repeat(np.arange(len(words), dtype=np.int32), windows)
+    at = np.arange(len(doc), dtype=np.int32) + (before - (np.cumsum(windows) - windows)).astype(np.int32)[doc]
+    return flat, at, doc
 
 
 def _paths(flat: np.ndarray) -> np.ndarray:
@@ -164,7 +165,9 @@ def _paths(flat: np.ndarray) -> np.ndarray:
     for k in range(1, WINDOW):
         h *= _A
         h += flat[k : k + n]
-    return _mixed(h)
+    for at in range(0, n, CHUNK):
+        h[at : at + CHUNK] = _mixed(h[at : at + CHUNK])
+    return h
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -180,8 +183,8 @@ def plan_prefixes(docs: DataFrame) -> Prefixes:
             total = np.zeros(len(p.tables) << BUCKETS, np.int64)
             for _, _, words in _blocks(batches):
                 flat, at, _ = _windows(words)
-                group, bucket = p.table_of(flat, len(flat) - WINDOW)
-                total += np.bincount(bucket[at][group[at] < 0], minlength=len(total))
+                group, bucket = p.table_of(flat, at)
+                total += np.bincount(bucket[group < 0], minlength=len(total))
             k = np.flatnonzero(total)
             yield pd.DataFrame({"k": k, "n": total[k]})
 
@@ -199,26 +202,20 @@ def _suffixes(batches: Iterator[pd.DataFrame], prefixes: Prefixes) -> Iterator[p
     for ids, keys, words in _blocks(batches):
         flat, at, doc = _windows(words)
         path = _paths(flat)[at]
-        rank = np.array(ids, np.int64)[doc]
-        order = np.lexsort((at, rank, path))
-        p, r = path[order], rank[order]
-        head = np.concatenate([[True], p[1:] != p[:-1]])
-        low = r[np.flatnonzero(head)][np.cumsum(head) - 1]
-        own = np.zeros(len(at), bool)
-        own[order] = r == low
+        own = _in_smallest(path, np.array(ids, np.int64), doc)
         first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         out: dict[str, list] = {"gid": [], "tree": [], "blob": [], "id": [], "key": []}
         settled = np.flatnonzero(~own)
         for part in np.split(settled, np.flatnonzero(np.diff(doc[settled])) + 1) if len(settled) else []:
             k = doc[part[0]]
-            out["gid"].append(keys[k] % prefixes.groups)
+            out["gid"].append(((ids[k] * 0x9E3779B1) ^ keys[k]) % prefixes.groups)  # by id too: copies share a key
             out["tree"].append(False)
             out["blob"].append((at[part] - first[k]).astype(np.int32).tobytes())
             out["id"].append(ids[k])
             out["key"].append(keys[k])
         sent = np.flatnonzero(own)
-        group, _ = prefixes.table_of(flat, len(flat) - WINDOW)
-        group = group[at[sent]]
+        group, _ = prefixes.table_of(flat, at[sent])
+        del flat
         by = np.argsort(group, kind="stable")
         for part in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
             i = sent[part]
@@ -230,6 +227,19 @@ def _suffixes(batches: Iterator[pd.DataFrame], prefixes: Prefixes) -> Iterator[p
         yield pd.DataFrame(out)
 
 
+def _in_smallest(path: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each suffix stands in the smallest document of this block that has its path."""
+    order = np.argsort(path, kind="stable")
+    p = path[order]
+    head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    del p
+    rank = ids[doc[order]]
+    low = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(rank))))
+    own = np.zeros(len(path), bool)
+    own[order] = rank == low
+    return own
+
+
 def _pack(at: np.ndarray, doc: np.ndarray, path: np.ndarray, ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> bytes:
     who, n = np.unique(doc, return_counts=True)
     step = np.diff(at, prepend=0)
@@ -281,7 +291,7 @@ def _subtree(group: pd.DataFrame) -> pd.DataFrame:
     ids, keys, at = ids[order], keys[order], at[order]
     cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(keys) != 0)) + 1
     first = np.concatenate([[0], cut]).astype(int) if len(ids) else np.zeros(0, int)
-    return pd.DataFrame({"id": ids[first], "key": keys[first], "at": [np.unique(a) for a in np.split(at, cut)] if len(ids) else []})
+    return pd.DataFrame({"id": ids[first], "key": keys[first], "at": pd.Series([np.unique(a) for a in np.split(at, cut)] if len(ids) else [], dtype="object")})
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -306,9 +316,9 @@ def _covered(at: np.ndarray | None, n: int) -> np.ndarray:
 
 def with_places(docs: DataFrame) -> DataFrame:
     """docs with _at, the places of all groups, or null."""
-    found = places(docs).groupBy("id", "key").agg(F.flatten(F.collect_list("at")).alias("_at"))
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == F.col("id")) & (F.xxhash64(docs["text"]) == F.col("key"))
-    return docs.join(found, key, "left").drop("id", "key")
+    found = places(docs).groupBy(F.col("id").alias("_id_"), F.col("key").alias("_key_")).agg(F.flatten(F.collect_list("at")).alias("_at"))
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == F.col("_id_")) & (F.xxhash64(docs["text"]) == F.col("_key_"))
+    return docs.join(found, key, "left").drop("_id_", "_key_")
 
 
 def report(docs: DataFrame) -> DataFrame:
