@@ -91,3 +91,10 @@ def test_keep_one(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.report(df).collect() == [] and simhash.keep_one(df).collect() == []
+
+
+def test_null_ids_stay_apart(spark):
+    texts = ["one text about ships and the sea they sail on", "quite another text of mountains and snow up high", "one text about ships and the sea they sail on"]
+    df = spark.createDataFrame([(None, t, "en", None, "x") for t in texts], SCHEMA)
+    assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(set(texts))
+    assert {r.component_id for r in simhash.report(df).collect()} == {None}
