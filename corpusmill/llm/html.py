@@ -39,7 +39,10 @@ GOOD = set("article body content entry main page post story text blog".split())
 TEXTUAL = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "figcaption"}
 #: Beside the best container these are kept unless they are links.
 PROSE = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure"}
-SPLIT_NAME = re.compile(r"[^a-z0-9]+")
+SPLIT_NAME, CAMEL = re.compile(r"[^a-z0-9]+"), re.compile(r"([a-z0-9])([A-Z])")
+STRONG = re.compile(r"sidebar|cookie|advert|newsletter|breadcrumb|navbar|popup|adsby")
+STATES = {"has", "no", "with", "without", "open", "closed", "enabled", "disabled"}
+OWN = {"article", "post", "entry", "story", "blog"}
 
 
 class Node:
@@ -57,6 +60,19 @@ def _attrs(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)} if raw else {}
 
 
+def _parts(name: str) -> list[str]:
+    """Words of a class name or id; capitals inside start one."""
+    return [x for x in SPLIT_NAME.split(CAMEL.sub(r"\1 \2", name).lower()) if x]
+
+
+def _noisy(name: str, inside: bool) -> bool:
+    """Whether one class name or id marks what is no part of an article. Names of states, as has-sidebar or comments-open, do not."""
+    parts = set(_parts(name))
+    if parts & STATES:
+        return False
+    return bool(parts & NOISE) or bool(STRONG.search(name.lower())) or ("header" in parts and not inside and not parts & OWN)
+
+
 def _noise(tag: str, at: dict[str, str], names: list[str], up: Node) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
@@ -66,7 +82,7 @@ def _noise(tag: str, at: dict[str, str], names: list[str], up: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
         return True
-    return any(n in NOISE for n in names)
+    return any(_noisy(n, bool(up.inside)) for n in f"{at.get('class', '')} {at.get('id', '')}".split())
 
 
 def parse(html: str) -> list[Node]:
@@ -125,7 +141,7 @@ def parse(html: str) -> list[Node]:
                     close(i)
                     if tag not in ("tr",):
                         break
-        names = [x for x in SPLIT_NAME.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if x]
+        names = _parts(f"{attrs.get('class', '')} {attrs.get('id', '')}")
         node = Node(tag, names, open_[-1], _noise(tag, attrs, names, open_[-1]))
         open_[-1].own.append(node)
         nodes.append(node)

@@ -26,6 +26,17 @@ def test_noise_goes(kind, box, where):
     assert html.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("name", ["leftSidebar", "site-header", "cookieBanner", "page_footer", "adsbygoogle", "userComments", "top-nav", "relatedPosts"])
+def test_names_of_noise(name):
+    noise = f"<div class='{name}'><p>Some more, or less, of text that is long enough, and has commas, to count.</p></div>"
+    assert html.main_text(f"<body>{noise}<div class='content'>{BODY}</div>{noise}</body>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post comments-open", "layout no-ads", "entry-header", "commentary", "shadow"])
+def test_names_that_are_none(name):
+    assert html.main_text(f"<body><nav><a>x</a></nav><div class='{name}'>{BODY}</div></body>") == TEXT
+
+
 def test_article_is_whole():
     page = f"<body><nav><a>x</a></nav><article><header><h1>Title</h1></header>{BODY}<ul><li>one</li><li>two</li></ul><table><tr><td>cell<td>next</table><p>Ok.</p><pre>a  b</pre><blockquote>Quote</blockquote></article></body>"
     assert html.main_text(page) == f"Title {TEXT} one two cell next Ok. a b Quote"
