@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words, written
 
-LEVELS = (14, 22, 24)
+LEVELS = (12,) * 5  # bits: no source has more than 4096 buckets at once
 BITS = sum(LEVELS)
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -60,22 +60,24 @@ def cuts_for(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         last = shift - bits == 0
         shift -= bits
         bucket = F.shiftright("h", shift)
-        hist = left.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n"))
+        hist = left.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
         run = W.partitionBy("source").orderBy("b")
         hist = hist.withColumn("upto", F.sum("n").over(run))
         c = cuts.select(F.col("source").alias("_s"), F.col("budget").alias("_budget"))
-        edge = hist.join(c, hist.source.eqNullSafe(F.col("_s"))).filter(F.col("upto") > F.col("_budget")).groupBy("_s").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+        edge = hist.join(c, hist.source.eqNullSafe(F.col("_s"))).filter(F.col("upto") > F.col("_budget")).groupBy("_s").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "docs")).alias("e"))
         # where no bucket goes over, all of this level is below the cut
         past = F.shiftleft(F.shiftright("cut", shift + bits) + 1, shift + bits)
-        cuts = cuts.join(edge, cuts.source.eqNullSafe(F.col("_s")), "left").select("source", (F.col("budget") - F.coalesce("e.before", F.lit(0))).alias("budget"), F.coalesce(F.shiftleft(F.col("e.b"), shift), past).alias("cut"), F.col("e.b").alias("b"))
+        cuts = cuts.join(edge, cuts.source.eqNullSafe(F.col("_s")), "left").select("source", (F.col("budget") - F.coalesce("e.before", F.lit(0))).alias("budget"), F.coalesce(F.shiftleft(F.col("e.b"), shift), past).alias("cut"), F.col("e.b").alias("b"), F.col("e.docs").alias("docs"))
         cuts = written(cuts, "mix-cuts")
-        done.append(cuts.filter(F.lit(last) | F.col("b").isNull()).select("source", "cut"))
-        if last:
+        # a boundary bucket of one document is refined already: that document goes over the budget
+        open_ = F.lit(not last) & F.col("b").isNotNull() & (F.col("docs") > 1)
+        done.append(cuts.filter(~open_).select("source", "cut"))
+        cuts = cuts.filter(open_)
+        if last or not cuts.take(1):
             break
-        cuts = cuts.filter("b is not null")
         at = cuts.select(F.col("source").alias("_s"), F.col("b").alias("_b"))
         left = written(left.join(at, left.source.eqNullSafe(F.col("_s")) & (bucket == F.col("_b")), "left_semi"), "mix-left")
-        cuts = cuts.drop("b")
+        cuts = cuts.drop("b", "docs")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
