@@ -17,11 +17,12 @@ last of its class); an empty table gives no rows; other columns pass through `wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -144,8 +145,24 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"ints": [p.view(np.int32) for p, _ in got], "keys": [key_places(p, s).astype(np.int32) for p, s in got]})
 
 
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+
+
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, what is planned sends recordings to Python in small batches: ten thousand of them fill no memory."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def with_fingerprint(df: DataFrame, audio: str = "audio", name: str = "fp") -> DataFrame:
-    """df with fp: struct(ints, keys), the integers and the places of the keys."""
+    """df with fp: struct(ints, keys), the integers and the places of the keys. Plan and run it under `few_at_once`."""
     return df.withColumn(name, F.pandas_udf(_fingerprints, "ints array<int>, keys array<int>")(F.col(audio)))
 
 
@@ -195,7 +212,8 @@ def report(recordings: DataFrame, every_nth: int = 50) -> DataFrame:
     A row for each recording, with match_id null; and for each class that holds a recording whose id is divisible by
     every_nth, a row (id: the class's) for each other class that aligns with it.
     """
-    fps = written(with_fingerprint(recordings.select("id", "audio")).select("id", "fp"), "audio-fp")
+    with few_at_once(recordings.sparkSession):
+        fps = written(with_fingerprint(recordings.select("id", "audio")).select("id", "fp"), "audio-fp")
     every = written(classes(fps), "audio-classes")
     key = F.xxhash64("ints")
     of = every.select(key.alias("k"), F.col("ints").alias("_ints"), "class_id")
