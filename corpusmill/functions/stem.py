@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 VOWEL = "(?:[aeiou]|(?<![aeiou])y)"
 # The suffix rules of steps 2, 3 and 4.
@@ -41,7 +40,6 @@ def _swapped(w: str, rules: list[str], least: int) -> str:
     return w
 
 
-@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     w = word
     if len(w) <= 2 or not w.isascii() or not w.isalpha():
@@ -83,4 +81,6 @@ def folded(text: str) -> str:
 
 def terms(text: str | None) -> list[str]:
     """Stems of the alphanumeric runs."""
-    return [stem(w) for w in re.findall(r"[^\W_]+", folded(text or ""))]
+    words = re.findall(r"[^\W_]+", folded(text or ""))
+    known = {w: stem(w) for w in set(words)}
+    return [known[w] for w in words]
