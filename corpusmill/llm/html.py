@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "canvas", "audio", "video"}
+#: In the page itself: str.lower() may change its length. ASCII only.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
@@ -89,7 +91,7 @@ def parse(html: str) -> list[Node]:
     """All elements in page order, the root first."""
     root = Node("html", [], None, False)
     nodes, open_ = [root], [root]
-    at, low = 0, None
+    at = 0
 
     def add(text: str) -> None:
         if text:
@@ -147,9 +149,8 @@ def parse(html: str) -> list[Node]:
         nodes.append(node)
         if tag in RAW:
             if not raw.rstrip().endswith("/"):
-                low = html.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                end = html.find(">", end) if end >= 0 else -1
+                end = RAW_END[tag].search(html, at)
+                end = html.find(">", end.start()) if end else -1
                 at = end + 1 if end >= 0 else len(html)
         elif tag not in VOID:
             open_.append(node)

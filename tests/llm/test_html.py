@@ -62,3 +62,11 @@ def test_report(spark):
     assert got == sorted([(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert html.report(df.limit(0)).collect() == []
     assert html.with_main_text(df).columns == [*df.columns, "main_text"]
+
+
+@pytest.mark.parametrize("tag", ["script", "STYLE", "svg"])
+def test_raw_element_after_letters_that_grow_in_lower_case(tag):
+    dotted = "<p>İİİİİİİİİİİİ İstanbul is, as all know, a large city, on two continents, of many people.</p>"
+    page = lambda raw: f"<html><body><article>{dotted}{raw}{BODY}</article></body></html>"
+    assert html.main_text(page(f"<{tag}>var a = 1</{tag.swapcase()}>")) == html.main_text(page(""))
+    assert TEXT.split(".")[0] in html.main_text(page(f"<{tag}>var a = 1</{tag}>"))
