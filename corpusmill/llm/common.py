@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +19,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is set only where the session names none, as in tests."""
+    """The folder all executors share. One of this machine is set only where the session names none and runs on it alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside are deleted at the end, but for those kept: write what is needed before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs one read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where df already has such a column."""
+    have, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame, text: Column | None = None) -> list[Column]:
+    """df's columns by name; with `text`, that in place of the column text."""
+    return [text.alias(c) if text is not None and c.lower() == "text" else named(c) for c in df.columns]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same, and faster, where no other letter would change."""
     rest = F.regexp_replace(c, r"[\x00-\x7F]+", "")
@@ -55,11 +97,3 @@ def n_words(c: Column) -> Column:
 def const_array(values: list[int], kind: str = "bigint") -> Column:
     """A literal array. Spark parses the text once, while planning."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores in front where df already has such a column."""
-    have = {x.lower() for x in df.columns}
-    while name.lower() in have:
-        name = "_" + name
-    return name
