@@ -32,7 +32,7 @@ def test_names_of_noise(name):
     assert html.main_text(f"<body>{noise}<div class='content'>{BODY}</div>{noise}</body>") == TEXT
 
 
-@pytest.mark.parametrize("name", ["has-sidebar", "post comments-open", "layout no-ads", "entry-header", "commentary", "shadow"])
+@pytest.mark.parametrize("name", ["has-sidebar", "post comments-open", "layout no-ads", "entry-header", "commentary", "shadow", "notice-period", "social-history", "share-price", "cookie-recipe"])
 def test_names_that_are_none(name):
     assert html.main_text(f"<body><nav><a>x</a></nav><div class='{name}'>{BODY}</div></body>") == TEXT
 
@@ -70,3 +70,31 @@ def test_raw_element_after_letters_that_grow_in_lower_case(tag):
     page = lambda raw: f"<html><body><article>{dotted}{raw}{BODY}</article></body></html>"
     assert html.main_text(page(f"<{tag}>var a = 1</{tag.swapcase()}>")) == html.main_text(page(""))
     assert TEXT.split(".")[0] in html.main_text(page(f"<{tag}>var a = 1</{tag}>"))
+
+
+@pytest.mark.parametrize("raw", ["<script>if(a<b){x()} // don't</script>", '<script><!-- var x=1; </script>', "<script>'</scripty>'</script >", "<style>a:after{content:'<'}</style>", "<!-- <p>it's --><!-->"])
+def test_raw_elements_end(raw):
+    page = lambda x: f"<html><head>{x}</head><body>{x}<article><p>It's one, it's two, it's long enough, really.</p>{x}{BODY}</article></body></html>"
+    assert html.main_text(page(raw)) == html.main_text(page("")) == f"It's one, it's two, it's long enough, really. {TEXT}"
+
+
+def test_text_is_not_lost():
+    inline = "<p>Let <math><mi>x</mi></math> be, press <button>Save</button> or <label>this</label>, and go on, as long as you like.</p>"
+    assert html.main_text(f"<article>{inline}</article>") == "Let x be, press Save or this, and go on, as long as you like."
+    assert html.main_text(f"<article>{BODY}<ul><li><a href='1'>One link</a></li><li><a href='2'>Two</a></li></ul></article>") == f"{TEXT} One link Two"
+    assert html.main_text(f"<body>Bare text before <b>it</b>, <div class='content'>{BODY}</div> and after.</body>") == f"Bare text before it, {TEXT} and after."
+    assert html.main_text(f"<body><form action='x'><h1>Title</h1><article>{BODY}</article></form></body>") == TEXT or html.main_text(f"<body><form action='x'><h1>Title</h1><article>{BODY}</article></form></body>") == f"Title {TEXT}"
+    assert html.main_text("<p title=it's>one</p><p>it's two") == "one it's two"
+    assert html.main_text("<div><button>Share</button></div><p>Some words, in a line, and on.</p>") == "Some words, in a line, and on."
+
+
+@pytest.mark.parametrize("unit", ["</i>", "<b>", "<b></i>", "<a x=\">\"", "<a ", "<p><i></b>", "<table></i>", "<!--", "<!", "&", "<li>", "<a x='"])
+def test_time_is_linear(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.main_text("<b>" * (n // 50) + "<i>" + unit * (n // len(unit)) + "end")
+        return time.process_time() - began
+
+    assert took(400_000) < 8 * took(100_000) + 0.5
