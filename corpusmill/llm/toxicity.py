@@ -1,10 +1,13 @@
 """Toxicity from the nearest labelled examples.
 
-Labelled examples are vectors of TF-IDF over a vocabulary of the terms that tell labels apart; words and the first
-letters of longer words are terms. They stand in an inverted index in blocks of `BLOCK`, with each term's largest weight
-in each block. A text's bound for a block is the sum of its weights times those maxima; blocks are scored exactly from
-the best bound down until no other block can hold one of the `K` nearest, so the neighbours by cosine are exact.
-Their votes, weighted by similarity, give a raw score, which a curve learned leave-one-out on the examples turns into
+Labelled examples are TF-IDF vectors over all terms that `SUPPORT` of them hold; words, and the first letters of longer
+words, are terms, and a count is a weight as it is. Each term has an inverted list of the examples that hold it, and with it
+the largest weight in each block of `BLOCK` examples. A text's terms are taken by falling share in the best possible score:
+their lists are summed until what all terms left could add lies below the K-th best sum, so no example that was not met can be
+among the `K` nearest; of those met, only examples whose sum and the bound of their block for the terms left reach
+that far are scored in full. So the neighbours by cosine are exact. (A term that fewer examples hold would lengthen a text's
+vector, thus scale all its cosines alike; within an example it counts as noise.)
+Votes, weighted by squared cosine, give a raw score, which a curve learned leave-one-out on the examples turns into
 a probability. The neighbours are returned as evidence.
 
 Examples are a sample of `EXAMPLES` rows of each label at most, those of the smallest hashes. Document frequencies cover
@@ -12,7 +15,8 @@ all documents, and every whole text is scored.
 
 Defined cases: null and empty texts, and those without a term, get the share of label 1 among such examples; an id
 with several labels counts by their mean, halves as 1; without labelled rows all score 0; ties between neighbours go
-to the earlier example; an empty table gives no rows; repeated rows get equal scores; other columns pass through.
+to the earlier example; an empty table gives no rows; repeated rows get equal scores; other columns pass through
+`with_toxicity`, but for one named like what it makes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,10 +36,11 @@ from .common import written
 from .langid import enough, fold_remainder, hash_bound
 
 EXAMPLES = (1500, 3000)  # label 1, label 0
-VOCAB = 768
+SUPPORT = 3
 K = 25
 BLOCK = 64
 STEM = 5
+STEP = 8192  # list entries that are summed between two looks at the bound
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,65 +54,94 @@ def terms(text: str | None) -> Counter:
     return words + stems
 
 
+def _lists(ptr: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of these keys' lists, and the lists' lengths."""
+    n = ptr[keys + 1] - ptr[keys]
+    return np.repeat(ptr[keys] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+def _pointers(sorted_keys: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(sorted_keys, np.arange(n + 1))
+
+
 class Index:
-    """Examples by vocabulary in blocks, and what turns votes into scores."""
+    """Block-max inverted lists of the examples, and what turns votes into scores."""
 
-    def __init__(self, vocab: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], rate: tuple[float, float]):
+    def __init__(self, vocab: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rate: tuple[float, float]):
         """examples: (id, label, terms, counts). rate: label 1's and label 0's share of all labelled rows over their share here."""
         self.at = {v: i for i, v in enumerate(vocab)}
         self.idf = idf
-        rows = [(i, y, *self._vector(np.array(t, np.int64), np.array(c, np.float64))) for i, y, t, c in examples if t]
+        rows = [(i, y, *self._vector(np.asarray(t, np.int64), np.asarray(c, np.float64))) for i, y, t, c in examples if len(t)]
         # examples with the same strongest term stand together, which tightens the blocks' bounds
         rows.sort(key=lambda r: (int(r[2][r[3].argmax()]), r[0]))
-        n = -(-max(len(rows), 1) // BLOCK) * BLOCK
         self.ids, self.y = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        self.index = np.zeros((len(vocab) + 1, n), np.float32)
-        for k, (_, _, t, w) in enumerate(rows):
-            self.index[t, k] = w
-        self.index = np.ascontiguousarray(self.index.reshape(len(vocab) + 1, -1, BLOCK).transpose(1, 0, 2))  # block, term, example
-        self.top = np.ascontiguousarray(self.index.max(2).T)  # term, block
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        self.row = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        none = np.zeros(0)
+        self.term, self.weights = np.concatenate([none, *[r[2] for r in rows]]).astype(np.int32), np.concatenate([none, *[r[3] for r in rows]]).astype(np.float32)
+        order = np.argsort(self.term, kind="stable")
+        self.list = _pointers(self.term[order], len(vocab))
+        self.who, self.impact = np.repeat(np.arange(len(rows), dtype=np.int32), size)[order], self.weights[order]
+        block = self.who // BLOCK
+        key = self.term[order].astype(np.int64) * (len(rows) // BLOCK + 1) + block
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_list = _pointers(self.term[order][head], len(vocab))
+        self.block, self.block_top = block[head], np.maximum.reduceat(self.impact, head) if len(head) else self.impact
+        self.top = np.zeros(len(vocab), np.float32)
+        np.maximum.at(self.top, self.term, self.weights)
         self.weight = np.where(self.y == 1, *rate)
-        none = [(y, rate[0] if y else rate[1]) for _, y, t, _ in examples if not t]
-        self.empty = sum(y * w for y, w in none) / sum(w for _, w in none) if none else float(np.average(self.y, weights=self.weight)) if len(rows) else 0.0
+        bare = [(y, rate[0] if y else rate[1]) for _, y, t, _ in examples if not len(t)]
+        self.empty = sum(y * w for y, w in bare) / sum(w for _, w in bare) if bare else float(np.average(self.y, weights=self.weight)) if len(rows) else 0.0
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if len(rows):
-            raw = np.array([self.votes(*self.nearest(t, w, skip=k))[0] for k, (_, _, t, w) in enumerate(rows)])
-            self.curve = _monotone(raw, self.y, self.weight)
 
     def _vector(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[t]
+        w = counts * self.idf[t]
         norm = math.sqrt(float(w @ w))
-        return t, (w / norm if norm else w).astype(np.float32)
+        return t, w / norm if norm else w
+
+    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, ascending, and their counts."""
+        return encode(self.at, text)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        get, found = self.at.get, {}
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            if (k := get(w)) is not None:
-                found[k] = found.get(k, 0) + n
-            if len(w) > STEM and (k := get("^" + w[:STEM])) is not None:
-                found[k] = found.get(k, 0) + n
-        t = np.array(sorted(found), np.int64)
-        return self._vector(t, np.array([found[k] for k in t.tolist()], np.float64)) if found else (t, np.zeros(0, np.float32))
+        t, n = self.encoded(text)
+        return self._vector(t, n)
+
+    def own(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Example k's vector."""
+        part = slice(self.row[k], self.row[k + 1])
+        return self.term[part].astype(np.int64), self.weights[part].astype(np.float64)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest examples and their cosines, best first."""
-        bound = w @ self.top[t]
-        order = np.argsort(-bound, kind="stable")
-        at, cos, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for i in range(0, len(order), 4):
-            some = [b for b in order[i : i + 4].tolist() if bound[b] > 0 and (len(cos) < K or bound[b] >= least)]
-            if not some:
-                break
-            got = np.concatenate([w @ self.index[b, t] for b in some])
-            who = (np.array(some)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = (got > 0) & (who != skip)
-            at, cos = np.concatenate([at, who[ok]]), np.concatenate([cos, got[ok]])
-            if len(cos) > K:
-                best = np.lexsort((at, -cos))[:K]
-                at, cos = at[best], cos[best]
-            least = float(cos.min()) if len(cos) == K else 0.0
-        best = np.lexsort((at, -cos))
-        return at[best], cos[best]
+        most = w * self.top[t]
+        by = np.argsort(-most, kind="stable")
+        t, w, most = t[by], w[by], most[by]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        entries = np.cumsum(self.list[t + 1] - self.list[t])
+        got, done, least, slack = np.zeros(len(self.y)), 0, 0.0, 1e-5
+        while done < len(t) and (rest[done] >= least - slack):
+            upto = max(int(np.searchsorted(entries, (entries[done - 1] if done else 0) + STEP)), done + 1)
+            at, n = _lists(self.list, t[done:upto])
+            got += np.bincount(self.who[at], self.impact[at] * np.repeat(w[done:upto], n), len(got))
+            done = upto
+            if len(got) > K + 1:  # one of those K + 1 may be skipped
+                least = float(np.partition(got, -K - 1)[-K - 1])
+        bound = got
+        if done < len(t):
+            at, n = _lists(self.block_list, t[done:])
+            bound = got + np.bincount(self.block[at], self.block_top[at] * np.repeat(w[done:], n), len(got) // BLOCK + 1)[np.arange(len(got)) // BLOCK]
+        near = np.flatnonzero((bound >= least - slack) & (got > 0) if least > slack else bound > 0)
+        near = near[near != skip]
+        if not len(near):
+            return near, np.zeros(0)
+        mine = np.zeros(len(self.top))
+        mine[t] = w
+        at, n = _lists(self.row, near)
+        cos = np.add.reduceat(mine[self.term[at]] * self.weights[at], np.cumsum(n) - n).round(7)
+        best = np.lexsort((near, -cos))[:K]
+        best = best[cos[best] > 0]
+        return near[best], cos[best]
 
     def votes(self, at: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
         """Share of label 1 in the votes, and their sum."""
@@ -158,35 +192,61 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[
     return texts, (n.get(1, 0), n.get(0, 0))
 
 
+def encode(at: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the text's terms, ascending, and their counts."""
+    found: dict[int, int] = {}
+    for w, n in Counter(WORD.findall((text or "").lower())).items():
+        if (k := at.get(w)) is not None:
+            found[k] = found.get(k, 0) + n
+        if len(w) > STEM and (k := at.get("^" + w[:STEM])) is not None:
+            found[k] = found.get(k, 0) + n
+    t = np.array(sorted(found), np.int64)
+    return t, np.array([found[k] for k in t.tolist()], np.float64)
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Index:
     texts, (ones, zeros) = labelled(documents, labels)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, y, t in zip(b["doc_id"], b["label"], b["text"]):
-                got = terms(t)
-                yield pd.DataFrame({"doc_id": i, "label": y, "term": [*got, ""], "n": [*got.values(), 1]})  # "" is there for every example
+            for t in b["text"]:
+                yield pd.DataFrame({"term": [*terms(t)]}, dtype="object")
 
     # an id may stand for several rows: the example is its first by text
-    once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    counts = written(once.mapInPandas(counted, "doc_id long, label int, term string, n long"), "toxic-terms")
-    size = {r.label: r.n for r in counts.filter("term = ''").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    once = written(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxic-texts")
+    size = {r.label: r.n for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
         index = Index([], np.zeros(0), [], (1.0, 1.0))
         index.empty = 1.0 if size.get(1) else 0.0
         return index
-    a, b = F.col("ones") / size[1], F.col("zeros") / size[0]
-    mean = (F.col("ones") + F.col("zeros")) / (size[1] + size[0])
-    gain = (a - b) * (a - b) / (mean * (1 - mean) + 1e-6)
-    by = counts.filter("term <> ''").groupBy("term").agg(F.sum(F.col("label").cast("long")).alias("ones"), F.sum(F.lit(1) - F.col("label")).alias("zeros"))
-    vocab = [r.term for r in by.filter("ones + zeros >= 3").orderBy(gain.desc(), "term").limit(VOCAB).select("term").collect()]
+    held = once.mapInPandas(counted, "term string").groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    vocab = sorted(held.select("term").toPandas()["term"])
+    at = {v: i for i, v in enumerate(vocab)}
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [encode(at, t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "t": [t.astype(np.int32) for t, _ in got], "n": [n.astype(np.int32) for _, n in got]})
+
     df, n = frequencies(documents, vocab)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    at = {v: i for i, v in enumerate(vocab)}
-    picked = counts.filter(F.col("term").isin(["", *vocab])).groupBy("doc_id", "label").agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("t")).orderBy("doc_id").collect()
-    examples = [(r.doc_id, r.label, [at[x.term] for x in r.t if x.term], [x.n for x in r.t if x.term]) for r in picked]
+    picked = once.mapInPandas(encoded, "doc_id long, label int, t array<int>, n array<int>").toPandas().sort_values("doc_id")
     rate = (ones / (ones + zeros) / (size[1] / (size[1] + size[0])), zeros / (ones + zeros) / (size[0] / (size[1] + size[0])))
-    return Index(vocab, idf, examples, rate)
+    index = Index(vocab, idf, list(zip(picked["doc_id"], picked["label"], picked["t"], picked["n"])), rate)
+    if len(index.y):
+        index.curve = _monotone(raw_scores(documents.sparkSession, index), index.y, index.weight)
+    return index
+
+
+def raw_scores(spark: SparkSession, index: Index) -> np.ndarray:
+    """Each example's share of votes by the others."""
+
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"k": b["id"], "raw": [index.votes(*index.nearest(*index.own(k), skip=k))[0] for k in b["id"]]})
+
+    got = spark.range(len(index.y), numPartitions=max(1, len(index.y) // 100)).mapInPandas(raw, "k long, raw double").toPandas()
+    return got.sort_values("k")["raw"].to_numpy(np.float64)
 
 
 def frequencies(documents: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int]:
@@ -205,11 +265,13 @@ def frequencies(documents: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int
                     if len(w) > STEM and (k := at.get("^" + w[:STEM])) is not None:
                         found.add(k)
                 n[list(found)] += 1
-        yield pd.DataFrame({"k": np.arange(-1, len(at)), "n": np.concatenate([[docs], n])})
+        k = np.flatnonzero(n)
+        yield pd.DataFrame({"k": np.concatenate([[-1], k]), "n": np.concatenate([[docs], n[k]])})
 
-    got = documents.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    n = {r.k: r.n for r in got}
-    return np.array([n.get(i, 0) for i in range(len(vocab))], np.float64), n.get(-1, 0)
+    got = documents.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(vocab) + 1)
+    out[got["k"].to_numpy(np.int64) + 1] = got["n"]
+    return out[1:], int(out[0])
 
 
 def scorer(index: Index) -> Column:
