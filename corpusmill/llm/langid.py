@@ -2,19 +2,20 @@
 
 For each language a context tree over bytes, of order 3, with method C escape probabilities: a symbol seen in a context
 has its share of count over count plus distinct symbols; the rest goes to the next shorter context, without the symbols
-already excluded. Statistics are frozen after learning, so the code length of every symbol after every context is
-computed once and a text's length in bits is a sum of look-ups. The language with the shortest code wins; the score
-is its share of the likelihoods.
+already excluded, and in the end to all 256 bytes alike. Statistics are frozen after learning, so the code length of every
+byte after every context is computed once and a text's length in bits is a sum of look-ups. The language with the
+shortest code wins; the score is its share of the likelihoods.
 
-Bytes are folded to 64 symbols: letters without case, white space and controls, digits, other ASCII, UTF-8
-continuation bytes by five bits, three kinds of leading bytes.
+Each byte that some learned text holds has a symbol of its own. Bytes that none holds share one in tables, at the code
+length of one such byte.
 
 Learning takes `PER_LANG` different texts of each language at most, those of the smallest hashes, each whole. Everything
 else covers all documents and whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled rows all are `und`;
 rows without lang are not learned from; ties go to the first language by name; an empty table gives no
-rows; other columns pass through `with_language`, but for columns named like the two it makes.
+rows; other columns pass through `with_language`, but for columns named like the two it makes. Letters are those of the
+Unicode classes L: number signs such as fractions and Roman numerals are none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, free, written
 
 PER_LANG = 400
 ORDER = 3
@@ -36,38 +37,35 @@ CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def _fold() -> np.ndarray:
-    fold = np.zeros(256, np.uint8)
-    fold[33:128] = 2
-    fold[127] = 0
-    fold[48:58] = 1
-    for i in range(26):
-        fold[65 + i] = fold[97 + i] = 3 + i
-    fold[128:192] = 29 + (np.arange(128, 192) & 31)
-    fold[192:196], fold[196:224], fold[224:] = 61, 62, 63
-    return fold
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
-FOLD = _fold()
+#: Every byte for itself: the codes that are counted before the symbols are known.
+BYTES = np.arange(256, dtype=np.int64)
 
 
-def _codes(raw: bytes) -> np.ndarray:
-    """Order-4 codes (context and symbol, 24 bits) of all bytes; the text is taken to follow white space."""
-    c = np.zeros(len(raw) + ORDER, np.int32)
-    c[ORDER:] = FOLD[np.frombuffer(raw, np.uint8)]
-    return (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
+def _codes(raw: bytes, fold: np.ndarray = BYTES, width: int = 8) -> np.ndarray:
+    """Order-4 codes (context and symbol, `width` bits each) of all bytes; the text is taken to follow white space."""
+    c = np.full(len(raw) + ORDER, fold[32], np.int32 if 4 * width < 32 else np.int64)
+    c[ORDER:] = fold[np.frombuffer(raw, np.uint8)]
+    return (c[:-3] << 3 * width) | (c[1:-2] << 2 * width) | (c[2:-1] << width) | c[3:]
 
 
 class Model:
-    """Code lengths of the languages: `rows[l][context]` is a row of `bits[l]`, which has one length per symbol."""
+    """Each language's context tree, as tables that lead from a context to its row of code lengths."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """counts: each language's order-4 codes of bytes, and how often each occurs."""
         self.langs = sorted(counts)
-        self.rows, self.bits = [], []
+        seen = np.unique(np.concatenate([[32], *[k & 255 for k, _ in counts.values()]]))
+        self.fold, self.width = np.full(256, len(seen)), len(seen).bit_length()
+        self.fold[seen] = np.arange(len(seen))
+        self.trees = []
         for lang in self.langs:
-            rows, bits = _tree(*counts[lang])
-            self.rows.append(rows)
-            self.bits.append(bits)
+            keys, n = counts[lang]
+            code = sum(self.fold[keys >> 8 * i & 255] << self.width * i for i in range(4))
+            self.trees.append(_tree(code, n, self.width, len(seen)))
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language. Texts are joined so that many short ones take few passes."""
@@ -75,7 +73,7 @@ class Model:
         pieces: list[tuple[int, np.ndarray]] = []
         size = 0
         for i, t in enumerate(texts):
-            codes = _codes(t.encode("utf-8", "replace"))
+            codes = _codes(t.encode("utf-8", "replace"), self.fold, self.width)
             for at in range(0, len(codes), CHUNK):
                 part = codes[at : at + CHUNK]
                 if size + len(part) > CHUNK:
@@ -92,13 +90,14 @@ class Model:
         codes = np.concatenate([p for _, p in pieces])
         at = np.cumsum([0] + [len(p) for _, p in pieces[:-1]])
         who = [i for i, _ in pieces]
-        context, symbol = codes >> 6, codes & 63
-        for k in range(len(self.langs)):
-            cost = self.bits[k][(self.rows[k][context] << 6) + symbol]
+        w = self.width
+        first, two, symbol = codes >> 3 * w, codes >> w & ((1 << 2 * w) - 1), codes & ((1 << w) - 1)
+        for k, (pair, rows, bits) in enumerate(self.trees):
+            cost = bits[(rows[(pair[two] << w) + first] << w) + symbol]
             np.add.at(out[:, k], who, np.add.reduceat(cost, at, dtype=np.float64))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
+        at = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if at:
             bits = self.lengths([texts[i] for i in at])
@@ -109,16 +108,18 @@ class Model:
         return langs, scores
 
 
-def _tree(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by order-4 code to (row of each context, code lengths): the probability row of a context is its own
-    symbols' shares and, for the others, the escape probability times the shorter context's row without those."""
+def _tree(keys: np.ndarray, n: np.ndarray, width: int, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by order-4 code to (number of the last two symbols, row by that number and the symbol before, code lengths):
+    the probability row of a context is its own symbols' shares and, for the others, the escape probability times the
+    shorter context's row without those."""
+    size = 1 << width
 
-    def seen(bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of `bits` bits and their counts of each symbol."""
-        code = keys & ((1 << (bits + 6)) - 1)
-        ctx, at = np.unique(code >> 6, return_inverse=True)
-        counts = np.zeros((len(ctx), 64))
-        np.add.at(counts, (at, code & 63), n)
+    def seen(order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of `order` symbols and their counts of each symbol."""
+        code = keys & ((1 << width * (order + 1)) - 1)
+        ctx, at = np.unique(code >> width, return_inverse=True)
+        counts = np.zeros((len(ctx), size))
+        np.add.at(counts, (at, code & (size - 1)), n)
         return ctx, counts
 
     def shares(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -129,20 +130,28 @@ def _tree(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = counts / np.where(left > 0, total + kinds, total)
         return own + escape * others / np.where(left > 0, left, 1)
 
-    rows = np.zeros(1 << 18, np.int32)
-    table = [shares(seen(0)[1], np.full((1, 64), 1 / 64))]
-    size = 1
-    for order in (1, 2, 3):
-        ctx, counts = seen(6 * order)
-        whole = np.concatenate(table)
-        # a context's longest shorter context that was seen is what its code points to so far
-        table.append(shares(counts, whole[rows[ctx]]))
-        step = np.arange(1 << 18) & ((1 << (6 * order)) - 1)
-        to = np.full(1 << (6 * order), -1, np.int32)
-        to[ctx] = size + np.arange(len(ctx))
-        rows = np.where(to[step] >= 0, to[step], rows).astype(np.int32)
-        size += len(ctx)
-    return rows, -np.log2(np.maximum(np.concatenate(table), 1e-12)).astype(np.float32).ravel()
+    even = np.zeros((1, size))
+    even[0, :known], even[0, known] = 1 / 256, (256 - known) / 256
+    table = [shares(seen(0)[1], even)]
+    one, counts = seen(1)
+    table.append(shares(counts, table[0]))
+    row_of_one = np.zeros(size, np.int32)  # of contexts never seen: the row of the longest shorter one that was
+    row_of_one[one] = 1 + np.arange(len(one))
+    two, counts = seen(2)
+    table.append(shares(counts, np.concatenate(table)[row_of_one[two & (size - 1)]]))
+    # the last two symbols to a number; two that were never seen count as the last one
+    pair = np.tile(len(two) + np.arange(size, dtype=np.int32), size)
+    pair[two] = np.arange(len(two))
+    rows = np.zeros((len(two) + size, size), np.int32)
+    rows[: len(two)] = (1 + len(one) + np.arange(len(two)))[:, None]
+    rows[len(two) :] = row_of_one[:, None]
+    three, counts = seen(3)
+    last, first = pair[three & (size * size - 1)], three >> 2 * width
+    table.append(shares(counts, np.concatenate(table)[rows[last, first]]))
+    rows[last, first] = 1 + len(one) + len(two) + np.arange(len(three))
+    whole = np.concatenate(table)
+    whole[:, known] /= max(256 - known, 1)
+    return pair, rows.ravel(), -np.log2(np.maximum(whole, 1e-12)).astype(np.float32).ravel()
 
 
 def fold_remainder(doc_id: Column, n: int) -> Column:
@@ -177,9 +186,9 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 k, n = np.unique(_codes(text.encode("utf-8", "replace")), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "k": k.astype(np.int32), "n": n.astype(np.int64)})
+                yield pd.DataFrame({"lang": lang, "k": k, "n": n.astype(np.int64)})
 
-    got = texts.mapInPandas(count, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.mapInPandas(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     return Model({str(lang): (g["k"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in got.groupby("lang")})
 
 
@@ -196,8 +205,9 @@ def predictor(model: Model) -> Callable[[Column], Column]:
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score."""
-    out = docs.withColumn("_p", predictor(model)(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    (p,) = free(docs, "_p")
+    out = docs.withColumn(p, predictor(model)(F.col("text")))
+    return out.withColumns({"lang_pred": F.col(f"{p}.lang_pred"), "score": F.col(f"{p}.score")}).drop(p)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -212,5 +222,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """docs of which the text has a language; others go. The columns stay as they are."""
-    out = docs.withColumn("_p", predictor(model)(F.col("text")))
-    return out.filter((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).select(*docs.columns)
+    (p,) = free(docs, "_p")
+    out = docs.withColumn(p, predictor(model)(F.col("text")))
+    return out.filter((F.col(f"{p}.lang_pred") != "und") & (F.col(f"{p}.score") >= least)).select(*columns_of(docs))
