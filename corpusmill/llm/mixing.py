@@ -7,17 +7,19 @@ a superset of what a smaller one takes.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of one hash
 (equal ids) are taken together; a budget is met from below, and what the first document beyond it leaves open goes to
-smaller ones; an empty table gives no rows; columns of the input
-that are called like a made column are replaced, others pass through `mix`.
+smaller ones; a document, one without words too, is taken at most as often as its source's target asks for, rounded up; an
+empty table gives no rows; all columns, whatever their names, pass through `mix`.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import columns_of, free, n_words, written
 
 LEVELS = (12,) * 5  # bits: no source has more than 4096 buckets at once
 BITS = sum(LEVELS)
@@ -119,20 +121,22 @@ def with_plan(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-TIMES = "base + if(h < cut or (size <= gap and h < cut2), 1, 0)"
+TIMES = "least(base + if(h < cut or (size <= gap and h < cut2), 1, 0), greatest(ceil(target / greatest(source_size, 1)), 1))"
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     sized, cuts = plan(docs)
-    return with_plan(sized, cuts).select("doc_id", "size", "source_size", "target", F.expr(f"size * ({TIMES})").alias("taken"))
+    return with_plan(sized, cuts).select("doc_id", "size", "source_size", "target", F.expr(f"cast(size * ({TIMES}) as bigint)").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, repeats as repeated rows."""
     _, cuts = plan(docs)
-    cuts = cuts.select(F.col("source").alias("_src"), *[F.col(c).alias(f"_{c}") for c in ("base", "cut", "gap", "cut2")])
-    rows = docs.join(cuts, F.col("source").eqNullSafe(F.col("_src")), "left").withColumns({"_h": mix_hash(F.col("doc_id")), "_size": n_words(F.col("text"))})
-    more = (F.col("_h") < F.col("_cut")) | ((F.col("_size") <= F.col("_gap")) & (F.col("_h") < F.col("_cut2")))
-    rows = rows.withColumn("_times", F.col("_base") + more.cast("long")).filter("_times > 0")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    made = ("base", "cut", "gap", "cut2", "target", "source_size", "h", "size")
+    src, times, n, *own = free(docs, "_src", "_times", "_n", *(f"_{c}" for c in made))
+    of = dict(zip(made, own))
+    cuts = cuts.select(F.col("source").alias(src), *[F.col(c).alias(of[c]) for c in made[:6]])
+    rows = docs.join(cuts, F.col("source").eqNullSafe(F.col(src)), "left").withColumns({of["h"]: mix_hash(F.col("doc_id")), of["size"]: n_words(F.col("text"))})
+    rows = rows.withColumn(times, F.expr(re.sub(r"\b(" + "|".join(made) + r")\b", lambda m: of[m[0]], TIMES)).cast("long")).filter(F.col(times) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns_of(docs))
