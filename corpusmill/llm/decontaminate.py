@@ -1,6 +1,7 @@
 """Benchmark decontamination: windows of normalised benchmark words found in documents.
 
-The windows of all items form one hash set. Each window names as its anchor its longest pair of adjacent words; a
+The windows of all items form one hash set; each stands in it once, with the set of its items, and equal sets of items are
+one. Each window names as its anchor its longest pair of adjacent words; a
 two-bit filter over the anchors' hashes, a literal of bounded width, picks a document's candidate pairs in one pass. The
 windows around a candidate are rendered as text and joined with the set on the text itself, which verifies each hit.
 Spark broadcasts the set where it measures it as small and shuffles both sides otherwise.
@@ -8,7 +9,8 @@ Spark broadcasts the set where it measures it as small and shuffles both sides o
 Defined cases: null and empty texts have no words and no hits; an item of fewer words than a window is one window; an
 item without words has none; equal items count one by one; overlapping occurrences count each word once; an empty
 benchmark hits nothing; a document row is known by id and text, so repeated rows get equal results; other
-columns pass through `remove_spans` and `remove_documents`.
+columns, whatever their names, pass through `remove_spans` and `remove_documents`; an item without id counts as a hit, but
+not among a document's items.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, const_array, written
+from .common import ascii_lower, columns_of, const_array, free, named, written
 
 WINDOW = 10
-MAP_BITS = (16, 22)
+#: The filter has 256 bits for an anchor, up to 2**26 bits (8 MB): a million anchors then let one word pair in a thousand
+#: pass, ten million one in fourteen. What passes is verified, so this is cost alone.
+MAP_BITS = (16, 26)
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -89,8 +93,16 @@ def scan(docs: DataFrame, anchors: Anchors) -> DataFrame:
     return rows.select("doc_id", "tkey", "n_words", F.transform("at", around).alias("near"))
 
 
+def item_sets(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, len, items): each window once, with the digest of its items' set; and (items, item_ids): each such set once."""
+    ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    of = grams.groupBy("gram", "len").agg(ids.alias("item_ids")).withColumn("items", F.sha2(F.to_json("item_ids"), 256))
+    of = written(of, "bench-windows")
+    return of.select("gram", "len", "items"), of.select("items", "item_ids").dropDuplicates(["items"])
+
+
 def hits(scanned: DataFrame, grams: DataFrame, anchors: Anchors) -> DataFrame:
-    """(doc_id, tkey, at, len, item_id): verified occurrences; `at` counts words from the text's first piece."""
+    """(doc_id, tkey, at, len, items): verified occurrences of `item_sets`' windows; `at` counts words from the text's first piece."""
     near = scanned.select("doc_id", "tkey", F.explode("near").alias("c")).select("doc_id", "tkey", "c.first", F.transform("c.w", ascii_lower).alias("w"))
 
     def windows_of(k):
@@ -99,29 +111,31 @@ def hits(scanned: DataFrame, grams: DataFrame, anchors: Anchors) -> DataFrame:
     each = [windows_of(k) for k in anchors.lengths]
     each = [F.when(F.size("w") >= k, x).otherwise(F.array().cast("array<struct<at:int,len:int,gram:string>>")) for k, x in zip(anchors.lengths, each)]
     cand = near.select("doc_id", "tkey", F.explode(F.flatten(F.array(*each))).alias("c")).select("doc_id", "tkey", "c.at", "c.len", "c.gram")
-    return cand.join(grams, ["gram", "len"]).select("doc_id", "tkey", "at", "len", "item_id").distinct()
+    return cand.join(grams, ["gram", "len"]).select("doc_id", "tkey", "at", "len", "items")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame | None]:
-    """(every row's doc_id, tkey and n_words; the hits, or None where the benchmark has no words)."""
+def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(every row's doc_id, tkey and n_words; the hits, or None where the benchmark has no words; the item sets)."""
     grams = written(windows(benchmark, n), "bench-grams")
     anchors = Anchors(grams)
     scanned = written(scan(docs, anchors), "bench-scan")
-    return scanned.select("doc_id", "tkey", "n_words"), hits(scanned, grams, anchors) if anchors.lengths else None
+    by_window, sets = item_sets(grams)
+    return scanned.select("doc_id", "tkey", "n_words"), hits(scanned, by_window, anchors) if anchors.lengths else None, sets
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows, found = search(docs, benchmark, n)
+    rows, found, sets = search(docs, benchmark, n)
     zero, nothing = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
     if found is None:
         return rows.select("doc_id", "n_words", zero.alias("n_hit"), zero.alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    found = found.groupBy("doc_id", "tkey").agg(
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"),
-    )
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
+    found = found.groupBy("doc_id", "tkey").agg(F.collect_set("items").alias("sets"), F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"))
+    found = written(found.select("doc_id", "tkey", "sets", covered(F.col("spans")).alias("n_hit")), "bench-hits")
+    # a document's words count once for all its sets, and its items once however many sets have them
+    of = found.select("doc_id", "tkey", "n_hit", F.explode("sets").alias("items")).join(sets, "items")
+    of = of.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"))
+    of = of.select("_id", "_tkey", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    out = rows.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
 
 
@@ -138,13 +152,20 @@ def covered(spans: Column) -> Column:
 
 
 def _spans(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame | None:
-    rows, found = search(docs, benchmark, n)
+    """(id, tkey, hit words, words, spans), named as no column of docs is."""
+    rows, found, _ = search(docs, benchmark, n)
     if found is None:
         return None
     found = found.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"))
-    words = rows.groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t")).agg(F.first("n_words").alias("_words"))
+    words = rows.groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_t")).agg(F.first("n_words").alias("n_words"))
     found = found.join(words, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tkey") == F.col("_t")))
-    return written(found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), covered(F.col("spans")).alias("_hit"), "_words", F.col("spans").alias("_spans")), "bench-spans")
+    found = written(found.select("doc_id", "tkey", covered(F.col("spans")).alias("hit"), "n_words", "spans"), "bench-spans")
+    return found.toDF(*free(docs, "_id", "_tkey", "_hit", "_words", "_spans"))
+
+
+def _same(found: DataFrame) -> Column:
+    i, k = found.columns[:2]
+    return F.col("doc_id").eqNullSafe(named(i)) & (F.xxhash64("text") == named(k))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: float = 0.0) -> DataFrame:
@@ -152,8 +173,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mos
     found = _spans(docs, benchmark, n)
     if found is None:
         return docs
-    bad = found.filter(F.col("_hit") > F.lit(most) * F.col("_words")).select("_id", "_tkey")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left_anti")
+    hit, words = map(named, found.columns[2:4])
+    bad = found.filter(hit > F.lit(most) * words).select(*found.columns[:2])
+    return docs.join(bad, _same(found), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: float = 1.0) -> DataFrame:
@@ -161,14 +183,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most: f
     found = _spans(docs, benchmark, n)
     if found is None:
         return docs
+    hit, words, spans = map(named, found.columns[2:5])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    lead = (F.get(F.split("text", WORD_GAP), F.lit(0)) == "").cast("int")  # places count an empty first piece
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")), "left")
-    rows = rows.filter(F.col("_hit").isNull() | (F.col("_hit") <= F.lit(most) * F.col("_words")))
-    hit = F.col("_spans").isNotNull()  # only these texts are split
-    rows = rows.withColumns({"_gaps": F.when(hit, F.split("text", word)), "_word": F.when(hit, F.regexp_extract_all("text", F.lit(word), 0)), "_lead": lead})
-    held = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"] - F.col("_lead") - 1, s["at"] - F.col("_lead") + s["len"] - 2)))  # at counts from 1
-    left = F.array_except(F.sequence(F.lit(0), F.size("_word") - 1), held)
-    text = F.concat(F.array_join(F.transform(left, lambda i: F.concat(F.get("_gaps", i), F.get("_word", i))), ""), F.element_at("_gaps", -1))
-    rows = rows.withColumn("_new", F.when(hit, text).otherwise(docs["text"]))
-    return rows.select(*[F.col("_new").alias(c) if c == "text" else docs[c] for c in docs.columns])
+    rows = docs.join(found, _same(found), "left")
+    rows = rows.filter(hit.isNull() | (hit <= F.lit(most) * words))
+    gaps, word_, lead, new = free(rows, "_gaps", "_word", "_lead", "_new")
+    some = spans.isNotNull()  # only these texts are split
+    first = (F.get(F.split("text", WORD_GAP), F.lit(0)) == "").cast("int")  # places count an empty first piece
+    rows = rows.withColumns({gaps: F.when(some, F.split("text", word)), word_: F.when(some, F.regexp_extract_all("text", F.lit(word), 0)), lead: F.when(some, first)})
+    held = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"] - F.col(lead) - 1, s["at"] - F.col(lead) + s["len"] - 2)))  # at counts from 1
+    left = F.array_except(F.sequence(F.lit(0), F.size(word_) - 1), held)
+    text = F.concat(F.array_join(F.transform(left, lambda i: F.concat(F.get(gaps, i), F.get(word_, i))), ""), F.element_at(gaps, -1))
+    return rows.withColumn(new, F.when(some, text).otherwise(F.col("text"))).select(*columns_of(docs, F.col(new)))
