@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import const_array, written
+from .common import columns_of, const_array, free, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -164,9 +164,14 @@ def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component of found (doc_id, tkey, root): that of the smallest id, null last."""
+    i, k = free(docs, "_id", "_tkey")
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.tkey").alias(k))
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)))
+    return rows.dropDuplicates([i, k]).select(*columns_of(docs))
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of the smallest id, null last."""
-    found = written(components(docs, distance), "simhash-groups")
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tkey").alias("_tkey"))
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")))
-    return rows.dropDuplicates(["_id", "_tkey"]).select(*docs.columns)
+    return one_of_each(docs, written(components(docs, distance), "simhash-groups"))

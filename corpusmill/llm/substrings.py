@@ -42,7 +42,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _A
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(32))
@@ -77,7 +77,7 @@ class Words:
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         run = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)], out=run[1:])
-        return _mixed((run[last] - run[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+        return mixed((run[last] - run[first]) * self.inverse[first] + (last - first).astype(np.uint64))
 
 
 class Prefixes:
@@ -166,7 +166,7 @@ def _paths(flat: np.ndarray) -> np.ndarray:
         h *= _A
         h += flat[k : k + n]
     for at in range(0, n, CHUNK):
-        h[at : at + CHUNK] = _mixed(h[at : at + CHUNK])
+        h[at : at + CHUNK] = mixed(h[at : at + CHUNK])
     return h
 
 
