@@ -2,11 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import substrings
 
-SCHEMA = "doc_id long, text string, id string, key string, at string"
+SCHEMA = "doc_id long, text string, id string, _key string, _at string"
 
 
 def brute(rows, n=13):
@@ -53,6 +54,56 @@ def test_report_matches_brute_force(spark, monkeypatch, block):
     assert sorted((tuple(r) for r in substrings.report(df).collect()), key=str) == brute(rows)
 
 
+def test_words_decide_where_symbols_do_not(spark, monkeypatch):
+    """With every suffix below one node, all windows are candidates and the words alone settle them."""
+    monkeypatch.setattr(substrings, "_codes", lambda flat: np.zeros(len(flat) - 13, np.uint64))
+    rows = fixture()[:120]
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA).repartition(3)
+    assert sorted((tuple(r) for r in substrings.report(df).collect()), key=str) == brute(rows)
+
+
+def test_long_prefixes_are_split_by_path(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CAPACITY", 100)
+    monkeypatch.setattr(substrings, "TABLES", 3)
+    monkeypatch.setattr(substrings, "max", lambda *x: 100 if x[0] == 20_000 else max(*x), raising=False)
+    rows = fixture()
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA).repartition(3)
+    plan = substrings.plan_prefixes(df)
+    assert len(plan.tables) <= 3 and any((p > 1).any() for p in plan.parts)
+    assert sorted((tuple(r) for r in substrings.report(df).collect()), key=str) == brute(rows)
+
+
+def test_deep_nodes():
+    """Nodes by neighbours' common symbols, against common prefixes of all pairs."""
+    rng = np.random.default_rng(1)
+    codes = np.concatenate([rng.integers(0, 4, (300, 12)) * (np.arange(12) < 6) @ (16 ** np.arange(11, -1, -1))]).astype(np.uint64)
+    for least in (3, 6, 12):
+        order, node = substrings.deep_nodes(codes, least)
+        top = (codes >> np.uint64(4 * (12 - least)))[order]
+        assert all((top[i] == top[j]) == (node[i] == node[j]) for i in range(0, 300, 7) for j in range(0, 300, 5))
+
+
+def test_maximal_repeats_match_brute_force(spark):
+    rows = [r for r in fixture() if r[0] is not None and r[0] < 500]
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
+    words = [(t or "").split() for _, t in rows]
+    low = {}
+    for (i, _), w in zip(rows, words):
+        for at in range(len(w) - 12):
+            low[tuple(w[at : at + 13])] = min(low.get(tuple(w[at : at + 13]), i), i)
+    want = set()
+    for (i, _), w in zip(rows, words):
+        hit = sorted(at for at in range(len(w) - 12) if low[tuple(w[at : at + 13])] < i)
+        runs = []
+        for at in hit:
+            if runs and at - runs[-1][1] <= 13:
+                runs[-1][1] = at
+            else:
+                runs.append([at, at])
+        want |= {(i, a, b - a + 13) for a, b in runs}
+    assert {(r.doc_id, r.start, r.length) for r in substrings.maximal_repeats(df).collect()} == want
+
+
 def test_prefixes_split(spark):
     p = substrings.Prefixes(10)
     assert p.grow({0: 5, 1: 100, 2: 5})
