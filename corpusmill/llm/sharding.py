@@ -2,16 +2,19 @@
 
 A record's slot is a hash of its id modulo a fixed number of slots. Bytes are summed per slot, and a versioned map,
 one small row set per version, says which shard holds each slot. Rebalancing edits the map, never the hash: growing
-by a shard moves just enough slots into the new one.
+by a shard moves just enough slots into the new one. A stored map is read again and only ever gets new versions; a run over
+the same bytes adds none, so it moves nothing.
 
 Defined cases: a null id is a key like any other (all such rows share a slot), a null text has no bytes, equal ids
 share a slot and so a shard, an empty table gives no rows, other columns pass through unless `assign` makes a column of
-that name itself.
+that name itself. Places are numbered by slot and a part of the texts' checksums, so many rows of one id do not meet in one task
+unless their texts are equal too.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +25,8 @@ from .common import const_array, shared_dir, written
 
 SLOTS = 4096
 OVERHEAD = 16
+PARTS = 16
+EVEN = 1.02
 MADE = ("size", "text_crc32", "vslot", "shard")
 
 
@@ -81,19 +86,20 @@ class SlotMap:
             heapq.heappush(heap, (load + sizes[fits], shard))
         return SlotMap(self.slots, [*self.versions, at])
 
-    def rebalance(self, sizes: dict[int, int], most: float = 1.02) -> SlotMap:
-        """A version in which slots left the heaviest shard for the lightest while it exceeded `most` times the mean."""
+    def rebalance(self, sizes: dict[int, int], most: float = EVEN) -> SlotMap:
+        """A version in which slots left the heaviest shard for the lightest while it exceeded `most` times the mean; this
+        map where none moves."""
         at, loads = list(self.current), self.loads(sizes)
-        mean = sum(loads.values()) / len(loads)
+        mean, moved = sum(loads.values()) / len(loads), False
         for _ in range(self.slots):
             high, low = max(loads, key=loads.get), min(loads, key=loads.get)
             room = (loads[high] - loads[low]) // 2
             fits = max((x for x in range(self.slots) if at[x] == high and 0 < sizes.get(x, 0) <= room), key=lambda x: sizes[x], default=None)
             if loads[high] <= most * mean or fits is None:
                 break
-            at[fits] = low
+            at[fits], moved = low, True
             loads[high], loads[low] = loads[high] - sizes[fits], loads[low] + sizes[fits]
-        return SlotMap(self.slots, [*self.versions, at])
+        return SlotMap(self.slots, [*self.versions, at]) if moved else self
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(version, vslot, shard): what is stored."""
@@ -104,8 +110,11 @@ class SlotMap:
         )
 
     def save(self, spark: SparkSession, path: str | None = None) -> str:
-        path = path or f"{shared_dir(spark).rstrip('/')}/slot-map"
-        self.table(spark).write.mode("overwrite").parquet(path)
+        """Adds the versions that the folder does not have yet; without a path, a folder of its own."""
+        path = path or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+        have = len(self.load(spark, path).versions) if _exists(spark, path) else 0
+        if have < len(self.versions):
+            self.table(spark).filter(F.col("version") >= have).write.mode("append").parquet(path)
         return path
 
     @classmethod
@@ -116,10 +125,28 @@ class SlotMap:
             versions.setdefault(r.version, []).append(r.shard)
         return cls(len(versions[0]), [versions[v] for v in sorted(versions)])
 
+    @classmethod
+    def stored(cls, spark: SparkSession, sizes: dict[int, int], shards: int, path: str | None = None, slots: int = SLOTS) -> SlotMap:
+        """The map of a folder, grown to so many shards and rebalanced where it has to be, as new versions; else a new one, which is stored."""
+        if path and _exists(spark, path):
+            found = cls.load(spark, path)
+            while max(found.current) + 1 < shards:
+                found = found.grow(sizes)
+            found = found.rebalance(sizes)
+        else:
+            found = cls.balanced(sizes, shards, slots)
+        found.save(spark, path)
+        return found
+
     def shard(self, vslot: Column, version: int = -1) -> Column:
         return F.get(const_array(self.versions[version], "int"), vslot)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def slot_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> dict[int, int]:
     """Bytes per slot, `slots` rows at most."""
     got = df.groupBy(slot_of(F.col(key), slots).alias("s")).agg(F.sum(record_size(F.col(text))).alias("n")).collect()
@@ -137,24 +164,25 @@ def assign(df: DataFrame, shards: int, slot_map: SlotMap | None = None, key: str
 def positions(records: DataFrame, slot_map: SlotMap, key: str = "doc_id") -> DataFrame:
     """records (as `assign` returns them) with `slot`, the gapless place in the shard.
 
-    Records are numbered inside their virtual slot; each slot's first number is the count of records in the
-    earlier slots of its shard. So no task orders more than a slot.
+    Records are numbered inside their part of a virtual slot; each part's first number is the count of records in the
+    earlier ones of its shard. So no task orders more than a part.
     """
-    counts = {r.vslot: r.n for r in records.groupBy("vslot").agg(F.count("*").alias("n")).collect()}
-    first, so_far = [0] * slot_map.slots, {}
+    part = (F.col("text_crc32") % PARTS).cast("int")
+    counts = {(r.vslot, r.p): r.n for r in records.groupBy("vslot", part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    first, so_far = [0] * (slot_map.slots * PARTS), {}
     for v, shard in enumerate(slot_map.current):
-        first[v] = so_far.get(shard, 0)
-        so_far[shard] = first[v] + counts.get(v, 0)
-    order = W.partitionBy("vslot").orderBy(key, "size", "text_crc32")
-    at = F.get(const_array(first), F.col("vslot"))
+        for p in range(PARTS):
+            first[v * PARTS + p] = so_far.get(shard, 0)
+            so_far[shard] = so_far.get(shard, 0) + counts.get((v, p), 0)
+    order = W.partitionBy("vslot", part).orderBy(key, "size", "text_crc32")
+    at = F.get(const_array(first), F.col("vslot") * PARTS + part)
     return records.withColumn("slot", at + F.row_number().over(order) - 1)
 
 
-def shards(docs: DataFrame, n: int = 40) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot."""
+def shards(docs: DataFrame, n: int = 40, path: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot. path: where the map is kept."""
     sized = written(docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id")).alias("vslot")), "shard-sizes")
     sizes = {r.vslot: r.n for r in sized.groupBy("vslot").agg(F.sum("size").alias("n")).collect()}
-    slot_map = SlotMap.balanced(sizes, n)
-    slot_map.save(docs.sparkSession)
+    slot_map = SlotMap.stored(docs.sparkSession, sizes, n, path)
     out = positions(sized.withColumn("shard", slot_map.shard(F.col("vslot"))), slot_map)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

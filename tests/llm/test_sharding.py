@@ -45,6 +45,24 @@ def test_map_versions(spark):
     assert out.count() == 3000
 
 
+def test_stored_map_is_kept(spark, tmp_path):
+    rows = [(i, "t" * (i % 50), "", "") for i in range(3000)]
+    df, path = spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/map"
+    place = lambda d, n=8: {r.doc_id: (r.shard, r.slot) for r in sharding.shards(d, n, path).collect()}
+    one = place(df)
+    assert place(df.repartition(5)) == one and len(sharding.SlotMap.load(spark, path).versions) == 1
+    grown = place(df, 9)
+    kept = sharding.SlotMap.load(spark, path)
+    assert len(kept.versions) >= 2 and {b for a, b in zip(kept.versions[0], kept.versions[1]) if a != b} == {8}
+    assert any(s == 8 for s, _ in grown.values())
+    more = spark.createDataFrame(rows + [(9000 + i, "long " * 400, "", "") for i in range(40)], SCHEMA)
+    assert len(place(more, 9)) == 3040
+    again = sharding.SlotMap.load(spark, path)
+    assert again.versions[: len(kept.versions)] == kept.versions
+    loads = again.loads(sharding.slot_sizes(more))
+    assert max(loads.values()) < 1.2 * sum(loads.values()) / 9
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert sharding.shards(df).collect() == []
