@@ -2,16 +2,17 @@
 
 A recording's spectrum is folded into twelve pitch classes per frame. Filters over the integral image of these frames compare
 two areas each; the logarithm of their ratio gives two bits, and the sixteen filters a packed 32-bit integer per frame. Two
-recordings are aligned where integers agree: the integers that are smallest among their neighbours are keys (any run of
-RUN equal integers shares one), keys that two recordings share vote for an offset, and every offset voted for is verified by
-bit errors: the stretch along it with the fewest errors must be LEAST integers long, with at most MOST_ERROR of its bits wrong.
+recordings are aligned where integers agree: every integer but those of silence, and of a run of equal ones the first, gives four
+keys, each three of its four bytes, so bits may be wrong in the fourth. Keys that two recordings share vote for an offset, and
+every offset voted for is verified by bit errors: the stretch along it with the fewest errors must be LEAST integers long, with
+at most MOST_ERROR of its bits wrong.
 
 Recordings of equal fingerprints form a class, and classes are aligned, not copies: links are rows between class
 representatives, and each recording has its class.
 
 Defined cases: null, empty, undecodable and very short audio has no integers, is its own class by that (all such form
 one) and links with nothing; silent stretches have no keys; ids may repeat or be null (a null id is not asked for, and is
-last of its class); an empty table gives no rows; other columns pass through `with_fingerprint` unless named like what it makes.
+last of its class; classes are told apart by `class_key`, not by id); an empty table gives no rows; other columns pass through `with_fingerprint` unless named like what it makes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,7 +33,7 @@ FRAME, HOP = 4096, 1365
 LOW, HIGH = 55.0, 3520.0
 SPAN = 16  # frames under the filters
 STEP = 0.25  # log ratios beyond this, either way, are the outer two of four classes
-RUN = 6
+PARTS = (0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00)  # bytes of an integer that make a key
 LEAST, MOST_ERROR = 16, 0.2
 LONG = 1 << 21  # samples that are transformed at once
 
@@ -128,15 +129,8 @@ def fingerprint(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_places(packed: np.ndarray, silent: np.ndarray) -> np.ndarray:
-    """Where an integer's hash is the first smallest of RUN neighbours."""
-    if not len(packed):
-        return np.zeros(0, np.int64)
-    h = packed * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(15)
-    w = min(RUN, len(h))
-    windows = np.lib.stride_tricks.sliding_window_view(h, w)
-    at = np.unique(np.arange(len(windows)) + windows.argmin(1))
-    return at[~silent[at]]
+    """Where an integer is not silence and not the one before."""
+    return np.flatnonzero(~silent & np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
 
 
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -181,51 +175,62 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int, float]
 
 
 def _stretches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of a pair's offsets, that of the best stretch: the longest with the fewest errors."""
     for a, b, o in batches:
-        got = [stretch(np.asarray(x, np.int32), np.asarray(y, np.int32), z) for x, y, z in zip(a, b, o)]
-        yield pd.DataFrame(got, columns=["start", "length", "error"])
+        out = []
+        for x, y, offsets in zip(a, b, o):
+            x, y = np.asarray(x, np.int32), np.asarray(y, np.int32)
+            got = [(*stretch(x, y, z), z) for z in sorted(np.asarray(offsets).tolist(), key=lambda z: (abs(z), -z))]
+            good = [g for g in got if g[1] >= LEAST and g[2] <= MOST_ERROR]
+            best = max(good, key=lambda g: g[1] * (MOST_ERROR * 1.25 - g[2]), default=(0, 0, 1.0, 0))
+            out.append((best[3], *best[:3]))
+        yield pd.DataFrame(out, columns=["offset", "start", "length", "error"])
 
 
 def classes(recordings: DataFrame) -> DataFrame:
-    """(id, fp) to (class_id, ints, keys, members): a row for each different fingerprint."""
-    return recordings.groupBy(F.col("fp.ints").alias("ints"), F.col("fp.keys").alias("keys")).agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    """(id, fp) to (class_key, class_id, ints, keys, members): a row for each different fingerprint."""
+    of = recordings.groupBy(F.col("fp.ints").alias("ints"), F.col("fp.keys").alias("keys")).agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    return of.withColumn("class_key", class_key(F.col("ints")))
+
+
+def class_key(ints: Column) -> Column:
+    return F.md5(F.array_join(F.transform(ints, lambda x: x.cast("string")), ",").cast("binary"))
 
 
 def align(asked: DataFrame, every: DataFrame) -> DataFrame:
-    """Classes against classes: (class_id, match_id, votes, offset, start, length, error), one row for each pair that aligns."""
+    """Classes against classes: (class_key, class_id, match_key, match_id, offset, start, length, error), a row for each pair that aligns."""
 
     def keyed(c: DataFrame, p: str) -> DataFrame:
-        return c.select(F.col("class_id").alias(f"{p}id"), F.explode("keys").alias(f"{p}at"), "ints").select(f"{p}id", f"{p}at", F.get("ints", F.col(f"{p}at")).alias(f"{p}key"))
+        at = c.select(F.col("class_key").alias(f"{p}c"), F.explode("keys").alias(f"{p}at"), "ints")
+        whole = F.get("ints", F.col(f"{p}at"))
+        parts = F.array(*[F.struct(F.lit(i).alias("part"), whole.bitwiseAND(F.lit(m - (1 << 32) if m >> 31 else m).cast("int")).alias("value")) for i, m in enumerate(PARTS)])
+        return at.select(f"{p}c", f"{p}at", F.explode(parts).alias("k")).select(f"{p}c", f"{p}at", F.col("k.part").alias(f"{p}part"), F.col("k.value").alias(f"{p}key"))
 
-    met = keyed(asked, "a").join(keyed(every, "b"), (F.col("akey") == F.col("bkey")) & (F.col("aid") != F.col("bid")))
-    votes = met.groupBy("aid", "bid", (F.col("bat") - F.col("aat")).alias("offset")).agg(F.count("*").alias("votes"))
-    rows = votes.join(asked.select(F.col("class_id").alias("aid"), F.col("ints").alias("aints")), "aid").join(every.select(F.col("class_id").alias("bid"), F.col("ints").alias("bints")), "bid")
-    s = F.pandas_udf(_stretches, "start int, length int, error double")("aints", "bints", "offset")
-    good = rows.select("aid", "bid", "votes", "offset", s.alias("s")).filter((F.col("s.length") >= LEAST) & (F.col("s.error") <= MOST_ERROR))
-    best = good.groupBy("aid", "bid").agg(F.max_by(F.struct("votes", "offset", "s"), F.struct((F.col("s.length") * (MOST_ERROR * 1.25 - F.col("s.error"))), -F.abs("offset"), "offset")).alias("x"))
-    return best.select(F.col("aid").alias("class_id"), F.col("bid").alias("match_id"), "x.votes", "x.offset", "x.s.start", "x.s.length", "x.s.error")
+    met = keyed(asked, "a").join(keyed(every, "b"), (F.col("apart") == F.col("bpart")) & (F.col("akey") == F.col("bkey")) & (F.col("ac") != F.col("bc")))
+    votes = met.select("ac", "bc", (F.col("bat") - F.col("aat")).alias("offset")).distinct()
+    pairs = votes.groupBy("ac", "bc").agg(F.collect_list("offset").alias("offsets"))
+    a, b = (c.select(F.col("class_key").alias(f"{p}c"), F.col("class_id").alias(f"{p}id"), F.col("ints").alias(f"{p}ints")) for c, p in ((asked, "a"), (every, "b")))
+    s = F.pandas_udf(_stretches, "offset int, start int, length int, error double")("aints", "bints", "offsets")
+    rows = pairs.join(a, "ac").join(b, "bc").select("ac", "aid", "bc", "bid", s.alias("s")).filter(F.col("s.length") > 0)
+    return rows.select(F.col("ac").alias("class_key"), F.col("aid").alias("class_id"), F.col("bc").alias("match_key"), F.col("bid").alias("match_id"), "s.*")
 
 
 def report(recordings: DataFrame, every_nth: int = 50) -> DataFrame:
-    """(id, audio) to (id, n_ints, fingerprint_crc32, class_id, match_id, offset, length, error).
+    """(id, audio) to (id, n_ints, fingerprint_crc32, class_id, class_key, match_id, match_key, offset, length, error).
 
-    A row for each recording, with match_id null; and for each class that holds a recording whose id is divisible by
+    A row for each recording, with no match; and for each class that holds a recording whose id is divisible by
     every_nth, a row (id: the class's) for each other class that aligns with it.
     """
     with few_at_once(recordings.sparkSession):
-        fps = written(with_fingerprint(recordings.select("id", "audio")).select("id", "fp"), "audio-fp")
+        fps = written(with_fingerprint(recordings.select("id", "audio")).select("id", "fp", class_key(F.col("fp.ints")).alias("k")), "audio-fp")
     every = written(classes(fps), "audio-classes")
-    key = F.xxhash64("ints")
-    of = every.select(key.alias("k"), F.col("ints").alias("_ints"), "class_id")
-    rows = fps.select("id", F.col("fp.ints").alias("ints")).withColumn("k", key)
-    asked_ids = fps.filter(F.col("id") % every_nth == 0).select(F.xxhash64("fp.ints").alias("k"), F.col("fp.ints").alias("_i")).distinct()
-    asked = every.join(asked_ids, (key == F.col("k")) & (F.col("ints") == F.col("_i")), "left_semi")
+    asked = every.join(fps.filter(F.col("id") % every_nth == 0).select("k").distinct(), F.col("class_key") == F.col("k"), "left_semi")
     found = align(asked.filter(F.size("ints") > 0), every.filter(F.size("ints") > 0))
     none = lambda kind: F.lit(None).cast(kind)
-    own = rows.join(of, (rows.k == of.k) & (F.col("ints") == F.col("_ints")))
+    own = fps.select("id", F.col("fp.ints").alias("ints"), "k").join(every.select("class_key", "class_id"), F.col("k") == F.col("class_key"))
     crc = F.crc32(F.array_join(F.transform("ints", lambda x: x.cast("string")), ",").cast("binary"))
-    own = own.select("id", F.size("ints").alias("n_ints"), crc.alias("fingerprint_crc32"), "class_id", none("bigint").alias("match_id"), none("int").alias("offset"), none("int").alias("length"), none("double").alias("error"))
-    links = found.select(F.col("class_id").alias("id"), none("int").alias("n_ints"), none("bigint").alias("fingerprint_crc32"), "class_id", F.col("match_id").cast("bigint").alias("match_id"), "offset", "length", "error")
+    own = own.select("id", F.size("ints").alias("n_ints"), crc.alias("fingerprint_crc32"), "class_id", "class_key", none("bigint").alias("match_id"), none("string").alias("match_key"), none("int").alias("offset"), none("int").alias("length"), none("double").alias("error"))
+    links = found.select(F.col("class_id").alias("id"), none("int").alias("n_ints"), none("bigint").alias("fingerprint_crc32"), "class_id", "class_key", F.col("match_id").cast("bigint").alias("match_id"), "match_key", "offset", "length", "error")
     return own.unionByName(links)
 
 

@@ -42,11 +42,11 @@ def test_alignment(spark):
     rows = fixture()
     df = spark.createDataFrame([(i, x, "clash", "clash") for i, x in rows], SCHEMA)
     got = audio.report(df).collect()
-    own = {r.id: r for r in got if r.match_id is None}
-    assert sum(r.match_id is None for r in got) == len(rows)
+    own = {r.id: r for r in got if r.match_key is None}
+    assert sum(r.match_key is None for r in got) == len(rows)
     assert own[0].class_id == own[1].class_id == own[5].class_id == own[None].class_id == 0
     assert own[100].class_id == own[101].class_id == own[102].class_id == own[105].class_id == 100 and own[100].n_ints == 0
-    links = {(r.class_id, r.match_id): r for r in got if r.match_id is not None}
+    links = {(r.class_id, r.match_id): r for r in got if r.match_key is not None}
     assert {m for c, m in links if c == 0} | {6} == {2, 3, 4, 6} and (own[6].class_id == 0 or (0, 6) in links)
     assert {m for c, m in links if c == 50} == {4} and not any(51 in k or 104 in k for k in links)
     assert abs(links[0, 3].offset + 30) <= 1 and abs(links[0, 4].offset - 10) <= 1 and links[0, 2].error < 0.15
@@ -67,13 +67,34 @@ def test_stretch_matches_brute_force():
             assert abs(sum(gain[k] for k in range(start, start + length)) - best) < 1e-6
 
 
-def test_runs_share_a_key():
-    rng = np.random.default_rng(5)
-    for _ in range(50):
-        a, b = rng.integers(0, 2**32, (2, 60), dtype=np.uint64).astype(np.uint32)
-        b[20 : 20 + audio.RUN] = a[10 : 10 + audio.RUN]
-        none = np.zeros(60, bool)
-        assert set(a[audio.key_places(a, none)]) & set(b[audio.key_places(b, none)])
+def test_null_and_repeated_ids_keep_their_links(spark):
+    a, b = tune(1), tune(2)
+    part = lambda x: pcm(x[audio.HOP * 30 :] * 0.5)
+    rows = [(0, pcm(a)), (None, part(a)), (50, pcm(b)), (50, part(b)), (50, pcm(tune(4)))]
+    got = audio.report(spark.createDataFrame([(i, x, "", "") for i, x in rows], SCHEMA)).collect()
+    links = {(r.class_key, r.match_key) for r in got if r.match_key is not None}
+    key = {(r.id, r.n_ints): r.class_key for r in got if r.match_key is None}
+    n = len(audio.fingerprint(audio.decode(part(a)))[0])
+    whole = len(audio.fingerprint(audio.decode(pcm(a)))[0])
+    assert (key[0, whole], key[None, n]) in links
+    assert sum(r.id == 50 and r.match_key is not None for r in got) == 2 and len({r.class_key for r in got if r.id == 50}) == 3
+
+
+def test_recall_against_all_offsets(spark):
+    """Noisy copies, and copies that begin inside of a hop, against verification at every offset."""
+    rng = np.random.default_rng(7)
+    base = [tune(10 + k, 60) for k in range(8)]
+    rows = [(50 * k, pcm(x)) for k, x in enumerate(base)]
+    for k, x in enumerate(base):
+        for j, (noise, shift) in enumerate([(0, 300), (0, 680), (1500, 0), (3000, 0), (3000, 400), (6000, 0)]):
+            cut = x[audio.HOP * 20 + shift : audio.HOP * 95]
+            rows.append((1000 + 10 * k + j + (1000 + 10 * k + j) % 50 // 49, pcm(cut + rng.normal(0, noise or 1, len(cut)))))
+    rows = [(i if n < 8 else 1001 + 50 * n, x) for n, (i, x) in enumerate(rows)]
+    ints = {i: audio.fingerprint(audio.decode(x))[0].view(np.int32) for i, x in rows}
+    links = lambda a, b: any(n >= audio.LEAST and e <= audio.MOST_ERROR for _, n, e in (audio.stretch(a, b, o) for o in range(-len(a), len(b))))
+    want = {(i, j) for i in ints if i % 50 == 0 for j in ints if i != j and links(ints[i], ints[j])}
+    found = {(r.id, r.match_id) for r in audio.report(spark.createDataFrame([(i, x, "", "") for i, x in rows], SCHEMA)).collect() if r.match_key is not None}
+    assert len(want) > 20 and found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
 
 
 def test_integral_filters_match_plain_sums():
