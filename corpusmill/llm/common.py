@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,13 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between steps of one operator: collects garbage on the driver, whereupon Spark deletes the shuffle files of the steps
+    that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where df already has such a column."""
     have, out = {x.lower() for x in df.columns}, []
