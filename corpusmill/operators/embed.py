@@ -83,11 +83,20 @@ class TfIdf:
 
     def weights(self, docs: DataFrame, key: str = "chunk_id") -> DataFrame:
         """(key, term, idx, weight): vectors of length 1, by term; texts without a known term have none."""
-        words = X.white_tokens(F.col("content"))
-        tf = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("c"))
-        w = tf.join(self.vocabulary, "term").select(key, "term", "idx", (F.col("c") / F.col("n") * F.col("idf")).alias("w"))
-        norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norms, key).select(key, "term", "idx", (F.col("w") / F.col("norm")).alias("weight"))
+        # `dimension` rows at most, so they go into the plan, and a document's weights come from its row alone
+        known = self.vocabulary.orderBy("idx").collect()
+        if not known:
+            return docs.select(key, F.lit("").alias("term"), F.lit(0).alias("idx"), F.lit(0.0).alias("weight")).limit(0)
+        terms, idf = F.array(*[F.lit(r.term) for r in known]), F.array(*[F.lit(r.idf) for r in known])
+        at = F.map_from_arrays(terms, F.sequence(F.lit(0), F.lit(len(known) - 1)))
+        w = X.white_tokens(F.col("content"))
+        rows = docs.select(key, w.alias("w")).select(key, F.size("w").alias("n"), F.sort_array(F.filter(F.transform("w", lambda x: F.try_element_at(at, x)), lambda i: i.isNotNull())).alias("i"))
+        rows = rows.filter(F.size("i") > 0).withColumn("d", F.array_distinct("i")).withColumn("p", F.transform("d", lambda d: F.array_position("i", d)))
+        c = F.transform("p", lambda p, j: F.coalesce(F.get("p", j + 1), F.size("i") + 1) - p)  # equal ones stand together
+        rows = rows.withColumn("x", F.zip_with("d", c, lambda d, k: k / F.col("n") * F.get(idf, d)))
+        norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
+        rows = rows.withColumn("norm", norm).select(key, "norm", F.inline(F.arrays_zip("d", "x")))
+        return rows.select(key, F.get(terms, F.col("d")).alias("term"), F.col("d").alias("idx"), (F.col("x") / F.col("norm")).alias("weight"))
 
     def embed(self, docs: DataFrame, key: str = "chunk_id") -> DataFrame:
         """(key, vec): dense vectors; zeros where no term is known."""

@@ -48,14 +48,14 @@ def m4_citations(spark, sf_dir):
 
 # ---- metrics of dense search; vectors of the query's label are relevant
 
-_D = f"WITH {Q.VECTORS}, d AS {Q.top('(' + Q.vector_scores() + ')', 10)}, lab AS (SELECT vec_id, label FROM v), tot AS (SELECT a.vec_id AS query_id, count(*) AS total FROM lab a JOIN lab b USING (label) WHERE a.vec_id < {Q.QUERIES} AND b.vec_id % 2 = 0 GROUP BY 1), m AS (SELECT d.*, (a.label = b.label AND b.vec_id % 2 = 0) AS hit FROM d JOIN lab a ON a.vec_id = d.query_id JOIN lab b ON b.vec_id = d.chunk_id)"
+_D = f"WITH {Q.VECTORS}, d AS {Q.top('(' + Q.vector_scores() + ')', 10)}, lab AS (SELECT vec_id, label FROM v), tot AS (SELECT a.vec_id // {Q.EVERY} AS query_id, count(*) AS total FROM lab a JOIN lab b USING (label) WHERE a.vec_id % {Q.EVERY} = 0 AND b.vec_id % 2 = 0 GROUP BY 1), m AS (SELECT d.*, (a.label = b.label AND b.vec_id % 2 = 0) AS hit FROM d JOIN lab a ON a.vec_id = d.query_id * 50 JOIN lab b ON b.vec_id = d.chunk_id)"
 _KS = "(SELECT unnest([1, 3, 5, 10]) AS k)"
 _AT_K = f"{_D}, z AS (SELECT query_id, k, count(*) FILTER (hit AND rank <= k) AS n, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (hit AND rank <= k), 0) AS g FROM m, {_KS} GROUP BY ALL), y AS (SELECT z.*, coalesce(total, 0) AS total FROM z LEFT JOIN tot USING (query_id))"
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.filter(F.col("vec_id") < Q.QUERIES).select(F.col("vec_id").alias("query_id"), "label")
+    q = v.filter(F.col("vec_id") % Q.EVERY == 0).select(F.expr(f"vec_id div {Q.EVERY}").alias("query_id"), "label")
     return q.join(v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
 
 
@@ -99,7 +99,7 @@ def m10_aggregate(spark, sf_dir):
 
 # ---- evaluation with judgments: every fourth rank is unjudged, and the first is judged twice
 
-_J = "j AS (SELECT query_id, rank, chunk_id, CASE WHEN rank = 1 THEN a.label <> b.label OR query_id % 3 = 0 WHEN rank % 4 = 0 THEN false ELSE a.label = b.label END AS rel, 'label' || a.label AS domain FROM d JOIN lab a ON a.vec_id = d.query_id JOIN lab b ON b.vec_id = d.chunk_id)"
+_J = "j AS (SELECT query_id, rank, chunk_id, CASE WHEN rank = 1 THEN a.label <> b.label OR query_id % 3 = 0 WHEN rank % 4 = 0 THEN false ELSE a.label = b.label END AS rel, 'label' || a.label AS domain FROM d JOIN lab a ON a.vec_id = d.query_id * 50 JOIN lab b ON b.vec_id = d.chunk_id)"
 _EVAL = (
     f"{_D}, {_J}, h AS (SELECT *, count(*) FILTER (rel) OVER (PARTITION BY query_id ORDER BY rank) AS h FROM j), i AS (SELECT query_id, domain, count(*) AS n, count(*) FILTER (rel) AS r, count(*) FILTER (rel AND rank <= 5) AS n5, count(*) FILTER (rel AND rank <= 10) AS n10, "
     "coalesce(1::DOUBLE / min(rank) FILTER (rel), 0) AS mrr, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (rel AND rank <= 5), 0) AS g5, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (rel AND rank <= 10), 0) AS g10, coalesce(sum(h::DOUBLE / rank) FILTER (rel), 0) AS ap FROM h GROUP BY ALL), "
@@ -113,7 +113,7 @@ _EVAL_MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in M.EVAL)
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     rows = stored(dense_list(spark, sf_dir, 10), "dense")
-    rows = rows.join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(lab.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("b")), "chunk_id")
+    rows = rows.join(lab.filter(F.col("vec_id") % Q.EVERY == 0).select(F.expr(f"vec_id div {Q.EVERY}").alias("query_id"), F.col("label").alias("a")), "query_id").join(lab.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("b")), "chunk_id")
     rows = rows.select("query_id", F.col("query_id").cast("string").alias("query"), F.concat(F.lit("label"), F.col("a").cast("string")).alias("domain"), "rank", (F.col("a") == F.col("b")).alias("same"), F.lit(0.25).alias("latency_s"))
     first = rows.filter("rank % 4 <> 0").select("query", "rank", F.col("same").alias("relevant"), F.lit(0).alias("seq"))
     second = rows.filter("rank = 1").select("query", "rank", (~F.col("same") | (F.col("query_id") % 3 == 0)).alias("relevant"), F.lit(1).alias("seq"))

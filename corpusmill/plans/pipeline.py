@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk as C
@@ -54,6 +54,17 @@ class Pipeline:
         vectors = config.embedder.embed(chunks) if isinstance(config.embedder, E.TfIdf) else E.embedded(chunks, config.embedder).select("chunk_id", "vec")
         return cls(config, chunks, stored(vectors, "vectors"), SparseIndex.build(chunks.select("chunk_id", "content")))
 
+    def save(self, path: str, codec: str = "zstd") -> str:
+        """Chunks, vectors and postings, as `load` reads them."""
+        self.chunks.write.option("compression", codec).parquet(f"{path}/chunks")
+        self.vectors.write.option("compression", codec).parquet(f"{path}/vectors")
+        self.sparse.save(f"{path}/sparse", codec)
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, config: Config) -> Pipeline:
+        return cls(config, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), SparseIndex.load(spark, f"{path}/sparse"))
+
     def _query_vectors(self, queries: DataFrame) -> DataFrame:
         if isinstance(self.config.embedder, E.TfIdf):
             return self.config.embedder.embed(queries.withColumnRenamed("text", "content"), "query_id")

@@ -18,7 +18,7 @@ from ..operators import ranking as RK
 from ..operators import rerank as R
 from ..operators import store as ST
 from ..operators.sparse import SparseIndex
-from ..sources.tables import stored, table
+from ..sources.tables import saved_once, stored, table
 from . import sql as Q
 from .pipeline import Config, Pipeline
 from .registry import query
@@ -35,13 +35,18 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and those that serve as queries."""
+    """All vectors, and those that serve as queries: every one whose id is divisible by 50, numbered from 0."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return v, v.filter(F.col("chunk_id") < Q.QUERIES).withColumnRenamed("chunk_id", "query_id")
+    return v, v.filter(F.col("chunk_id") % Q.EVERY == 0).select(F.expr(f"chunk_id div {Q.EVERY}").alias("query_id"), "vec")
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> SparseIndex:
+    """The index of a table's documents: built by the first query of a session that needs it, loaded by the others."""
+    return saved_once(spark, f"sparse-index-{sf_dir}", lambda path: SparseIndex.build(chunks(spark, sf_dir)).save(path), lambda path: SparseIndex.load(spark, path))
 
 
 def sparse_list(spark, sf_dir, k=CHUNKS) -> DataFrame:
-    return SparseIndex.build(chunks(spark, sf_dir)).search(asked(spark, sf_dir), k)
+    return sparse_index(spark, sf_dir).search(asked(spark, sf_dir), k)
 
 
 def dense_list(spark, sf_dir, k=CHUNKS, metric="cosine") -> DataFrame:
@@ -207,13 +212,13 @@ def token_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     v, _ = vectors(spark, sf_dir)
     cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vec", i * 16 + 1, F.lit(16)))
     v = v.select("chunk_id", cut.alias("tokens"))
-    return v, v.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    return v, v.filter(F.col("chunk_id") % Q.EVERY == 0).withColumnRenamed("chunk_id", "query_id")
 
 
 _T = "t AS (SELECT vec_id, label, i, e[i * 16 + 1 : i * 16 + 16] AS x FROM (SELECT *, unnest(range(0, 4)) AS i FROM v))"
 
 
-@query(f"WITH {Q.VECTORS}, {_T}, m AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.i, max(list_dot_product(a.x, b.x)) AS m FROM t a, t b WHERE a.vec_id < 20 GROUP BY ALL) SELECT * FROM {Q.top('(SELECT query_id, chunk_id, round(sum(m), 6) + 0.0::DOUBLE AS score FROM m GROUP BY ALL)', 10)}")
+@query(f"WITH {Q.VECTORS}, {_T}, m AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.i, max(list_dot_product(a.x, b.x)) AS m FROM t a, t b WHERE a.vec_id % 50 = 0 GROUP BY ALL) SELECT * FROM {Q.top('(SELECT query_id, chunk_id, round(sum(m), 6) + 0.0::DOUBLE AS score FROM m GROUP BY ALL)', 10)}")
 def j3_maxsim(spark, sf_dir):
     return MV.exact_search(*token_lists(spark, sf_dir), 10)
 
@@ -277,14 +282,14 @@ def j7_codes(spark, sf_dir):
     return lists.select("chunk_id", "token_idx", F.array_join(codes, "").alias("codes"))
 
 
-_PROBES = "g AS (SELECT vec_id AS query_id, i AS token_idx, centroid_id, s FROM (SELECT t.vec_id, t.i, c.centroid_id, round(list_dot_product(t.x, c.c), 9) AS s, row_number() OVER (PARTITION BY t.vec_id, t.i ORDER BY round(list_dot_product(t.x, c.c), 9) DESC, c.centroid_id) AS place FROM t, c WHERE t.vec_id < 20) WHERE place <= 3 AND s >= 0.01), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY token_idx, s DESC, centroid_id) AS n FROM g WHERE token_idx < 3) WHERE n <= 8)"
+_PROBES = "g AS (SELECT vec_id AS query_id, i AS token_idx, centroid_id, s FROM (SELECT t.vec_id, t.i, c.centroid_id, round(list_dot_product(t.x, c.c), 9) AS s, row_number() OVER (PARTITION BY t.vec_id, t.i ORDER BY round(list_dot_product(t.x, c.c), 9) DESC, c.centroid_id) AS place FROM t, c WHERE t.vec_id % 50 = 0) WHERE place <= 3 AND s >= 0.01), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY token_idx, s DESC, centroid_id) AS n FROM g WHERE token_idx < 3) WHERE n <= 8)"
 PROBES = MV.SearchConfig(k=10, nprobe=3, threshold=0.01, bound=8, t_prime=3)
 
 
 @query(f"WITH {Q.VECTORS}, {_T}, {_CENTROIDS}, {_PROBES} SELECT query_id, token_idx::INT AS token_idx, centroid_id::INT AS centroid_id, round(s, 6) AS score FROM h")
 def j10_centroids(spark, sf_dir):
     codec, tokens = fixed_codec(spark, sf_dir)
-    asked_ = tokens.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    asked_ = tokens.filter(F.col("chunk_id") % Q.EVERY == 0).withColumnRenamed("chunk_id", "query_id")
     return MV.MultiVectorIndex(codec, None).probes(asked_, PROBES).select("query_id", "token_idx", "centroid_id", F.round("centroid_score", 6).alias("score"))
 
 
@@ -295,15 +300,15 @@ def j10_centroids(spark, sf_dir):
 )
 def j12_inverted_search(spark, sf_dir):
     codec, tokens = fixed_codec(spark, sf_dir)
-    return MV.MultiVectorIndex.build(tokens, codec).search(tokens.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), PROBES)
+    return MV.MultiVectorIndex.build(tokens, codec).search(tokens.filter(F.col("chunk_id") % Q.EVERY == 0).withColumnRenamed("chunk_id", "query_id"), PROBES)
 
 
 @query()
 def j14_trained_search(spark, sf_dir):
-    lists, _ = token_lists(spark, sf_dir)
+    lists, asked_ = token_lists(spark, sf_dir)
     tokens = MV.exploded(lists)
     index = MV.MultiVectorIndex.build(tokens, MV.Codec.train(tokens, 8, 4))
-    return index.search(tokens.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), MV.SearchConfig(threshold=-1.0))
+    return MV.MultiVectorRetriever(index, lists, MV.SearchConfig(threshold=-1.0, nprobe=6)).retrieve(asked_, 10)
 
 
 @query(
@@ -317,10 +322,9 @@ def j16_kendall(spark, sf_dir):
     return M.kendall_tau(rows).select("query_id", F.round("tau", 6).alias("tau"))
 
 
-# ---- rerankers: a query is the start of a passage
+# ---- rerankers: a query is a whole passage
 
-_START = "array_to_string(string_split(text, ' ')[3:8], ' ')"
-_POOL = f"WITH {Q.POSTINGS}, s AS {Q.top('(' + Q.BM25 + ')', 20)}, x AS (SELECT s.*, lower(b.q) AS q1, lower(d.text) AS c1 FROM s JOIN (SELECT item_id, {_START} AS q FROM benchmark) b ON s.query_id = b.item_id JOIN documents d ON s.chunk_id = d.doc_id)"
+_POOL = f"WITH {Q.POSTINGS}, s AS {Q.top('(' + Q.BM25 + ')', 20)}, x AS (SELECT s.*, lower(b.q) AS q1, lower(d.text) AS c1 FROM s JOIN (SELECT item_id, text AS q FROM benchmark) b ON s.query_id = b.item_id JOIN documents d ON s.chunk_id = d.doc_id)"
 _TERMS = r"list_filter(regexp_split_to_array(q1, '[\s\p{Z}]+'), lambda w: w <> '')"
 _LEX = (
     f"(SELECT query_id, chunk_id, 0.3::DOUBLE * contains(c1, q1)::INT + 0.5::DOUBLE * len(list_filter({_TERMS}, lambda w: contains(c1, w))) / len({_TERMS}) + 0.2::DOUBLE * "
@@ -330,8 +334,7 @@ _OVER = rf"(SELECT query_id, chunk_id, len(list_intersect(list_distinct({_TERMS}
 
 
 def pool(spark, sf_dir) -> DataFrame:
-    q = asked(spark, sf_dir).withColumn("text", F.array_join(F.slice(F.split("text", " "), 3, 6), " "))
-    return R.candidates(sparse_list(spark, sf_dir, 20), q, chunks(spark, sf_dir), 20)
+    return R.candidates(sparse_list(spark, sf_dir, 20), asked(spark, sf_dir), chunks(spark, sf_dir), 20)
 
 
 @query(f"{_POOL} SELECT * FROM {Q.top(f'(SELECT query_id, chunk_id, round(v, 6) AS score FROM {_LEX})', 10)}")
@@ -364,8 +367,7 @@ def j15_packed_sizes(spark, sf_dir):
 @query(f"{_POOL.replace('20)', '9)')} SELECT * FROM {Q.top(f'(SELECT query_id, chunk_id, round(v, 6) AS score FROM {_LEX})', 3)}")
 def k5_pool(spark, sf_dir):
     """Three times as many candidates as are kept."""
-    q = asked(spark, sf_dir).withColumn("text", F.array_join(F.slice(F.split("text", " "), 3, 6), " "))
-    return R.rerank(R.candidates(sparse_list(spark, sf_dir, 20), q, chunks(spark, sf_dir), 9), R.lexical_score(F.col("query"), F.col("content")), 3)
+    return R.rerank(R.candidates(sparse_list(spark, sf_dir, 20), asked(spark, sf_dir), chunks(spark, sf_dir), 9), R.lexical_score(F.col("query"), F.col("content")), 3)
 
 
 @query()

@@ -196,8 +196,7 @@ def c7_stats(spark, sf_dir):
 
 @query()
 def c9_full_text(spark, sf_dir):
-    q = asked(spark, sf_dir).withColumn("text", F.array_join(F.slice(F.split("text", " "), 2, 2), " "))
-    return ST.full_text(ST.FullText.build(chunks(spark, sf_dir)), q, 10)
+    return ST.full_text(ST.FullText.build(chunks(spark, sf_dir)), asked(spark, sf_dir), 10)
 
 
 # ---- exports

@@ -52,11 +52,12 @@ SCORE = {
     "dot": "list_dot_product(a.e, b.e)",
     "euclidean": "-list_distance(a.e, b.e)",
 }
-QUERIES = 40
+#: Every row whose id is divisible by this is a query, numbered from 0.
+EVERY = 50
 
 
 def vector_scores(metric: str = "cosine") -> str:
-    return f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({SCORE[metric]}, 6) + 0.0::DOUBLE AS score FROM v a, v b WHERE a.vec_id < {QUERIES}"
+    return f"SELECT a.vec_id // {EVERY} AS query_id, b.vec_id AS chunk_id, round({SCORE[metric]}, 6) + 0.0::DOUBLE AS score FROM v a, v b WHERE a.vec_id % {EVERY} = 0"
 
 
 def lists(k: int = 50) -> str:

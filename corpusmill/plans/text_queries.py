@@ -244,12 +244,12 @@ def f8_vector_functions(spark, sf_dir):
 # ---- query preprocessing
 
 _LEADS = ["How to fix a slow function error", "What does update  mean", "compare find vs delete", "tell me"]
-_ASKED = f"(SELECT conv_id, turn, [{Q.listed(_LEADS)}][1 + turn % 4] || ' ' || substr(text, 1, 40) AS q FROM conversations WHERE role = 'user')"
+_ASKED = f"(SELECT conv_id, turn, [{Q.listed(_LEADS)}][1 + turn % 4] || ' ' || text AS q FROM conversations WHERE role = 'user')"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.get(F.array(*map(F.lit, _LEADS)), (F.col("turn") % 4).cast("int"))
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", lead, F.substring("text", 1, 40)).alias("q"))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", lead, "text").alias("q"))
 
 
 def _joined(spark, sf_dir, f, name="expansions"):

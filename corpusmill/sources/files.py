@@ -21,6 +21,7 @@ from . import subtitles as S
 TEXT, SUBTITLE, IMAGE = ("txt", "md"), ("srt", "vtt"), ("png", "jpg", "jpeg", "tiff", "bmp", "webp")
 # Media that can be transcribed.
 MEDIA = ("mp4", "mkv", "avi", "mov", "webm", "flv", "wmv", "mp3", "wav", "flac", "ogg", "m4a", "aac", "wma")
+VIDEO = MEDIA[:7]
 SIDECARS = ("srt", "vtt")
 DOCUMENT = "doc_id string, content string, title string, source string, format string, duration_secs double, cues array<struct<index:int,start_secs:double,end_secs:double,text:string>>, frame_time_secs double, language string, error string"
 
@@ -152,6 +153,17 @@ def extracted_frames(spark: SparkSession, paths: list[str] | str, extract: Calla
     return _applied(spark, paths, extract, "array<string>")
 
 
+def frame_folder(path: Column) -> Column:
+    """Where a video's frames are: a folder beside it, named as it is, with -frames."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("-frames"))
+
+
+def without_frames(spark: SparkSession, videos: DataFrame, root: str) -> DataFrame:
+    """(path) of videos whose frame folder holds no image."""
+    images = discover(spark, root, True, None, IMAGE).select(F.regexp_replace("path", "/[^/]*$", "").alias("_folder")).distinct()
+    return videos.select("path").join(images, frame_folder(F.col("path")) == F.col("_folder"), "left_anti")
+
+
 class Loaders:
     """Loaders by extension; later ones do not replace earlier ones."""
 

@@ -6,6 +6,7 @@ from conftest import same
 from corpusmill.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Against plain Python, row by row: test_rows.py.
 ROWS_ONLY = {"d2_recursive", "d5_structural", "d6_semantic", "d7_timestamp", "d9_auto", "m2_grouped", "m22_pipeline", "c9_full_text", "j14_trained_search"}
 
 

@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusmill.operators import store as ST
@@ -101,3 +104,53 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["eval", "gate", str(tmp_path / "m"), "--min-mrr", "0.6"], spark) == 1
     assert cli.main(["eval", "gate", str(tmp_path / "m"), "--min-mrr", "0.4"], spark) == 0
     assert cli.main(["eval", "compare", str(tmp_path / "m"), str(tmp_path / "m")], spark) == 0
+
+
+def ask(content):
+    return "what is it" if "safety" in content else "SKIP"
+
+
+def judge(query, content):
+    return '{"relevant": true, "reasoning": "says so"}' if "safety" in content else "not relevant"
+
+
+def frames(raw):
+    if raw == b"bad":
+        raise ValueError("no video")
+    return ["f1.png"] * len(raw)
+
+
+def test_cli_evaluation(spark, tmp_path, capsys):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors cannot import a test
+    (tmp_path / "in").mkdir()
+    words = " ".join(f"word{i}" for i in range(60))
+    for name in "abc":
+        (tmp_path / "in" / f"{name}.txt").write_text(f"Ownership gives memory safety {name}. {words}")
+    (tmp_path / "in" / "d.txt").write_text(f"Soup is best when hot. {words} soup")
+    out, at = str(tmp_path / "ix"), lambda x: str(tmp_path / x)
+    for embedder in ("tfidf", "hash"):
+        assert cli.main(["index", at("in"), "--output", out, "--embedder", embedder, "--dimension", "32", "--compression", "lz4"], spark) == 0
+        assert cli.main(["query", "memory safety", "--index", out, "--mode", "dense"], spark) == 0
+    assert cli.main(["eval", "generate", "--index", out, "--output", at("gt"), "--model", f"{__name__}:ask"], spark) == 0
+    made = spark.read.json(at("gt")).collect()
+    assert made and {r["query"] for r in made} == {"what is it?"}
+    (tmp_path / "q.jsonl").write_text('{"query":"memory safety","domain":"d","course":"c"}\n{"query":"zzz","domain":"d","course":"c"}\n')
+    assert cli.main(["eval", "retrieve", "--index", out, "--queries", at("q.jsonl"), "--output", at("res"), "--top-k", "3", "--mode", "sparse"], spark) == 0
+    found = {r["query"]: r.results for r in spark.read.schema(cli.RESULT).json(at("res")).collect()}
+    assert len(found["memory safety"]) == 3 and found["zzz"] == [] and "safety" in found["memory safety"][0].content
+    for _ in range(2):
+        assert cli.main(["eval", "judge", "--results", at("res"), "--output", at("jud"), "--model", f"{__name__}:judge", "--cache", at("cache")], spark) == 0
+    judged = spark.read.schema(cli.JUDGMENT).json(at("jud")).collect()
+    assert {(r["query"], r["rank"], r.relevant) for r in judged} == {("memory safety", n, True) for n in (1, 2, 3)}
+    assert spark.read.json(at("cache")).count() == 3
+    assert cli.main(["eval", "metrics", "--results", at("res"), "--judgments", at("jud")], spark) == 0
+    capsys.readouterr()
+    for name, body in (("v.mp4", b"xx"), ("w.mkv", b"bad"), ("old.mov", b"x")):
+        (tmp_path / "in" / name).write_bytes(body)
+    (tmp_path / "in" / "old-frames").mkdir()
+    (tmp_path / "in" / "old-frames" / "frame_1.png").write_bytes(b"png")
+    assert cli.main(["extract-frames", at("in"), "--extractor", f"{__name__}:frames", "--skip-existing"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "v.mp4: 2 frames" in shown and "w.mkv: ValueError" in shown and "old.mov" not in shown
+    assert cli.main(["extract-frames", at("in"), "--extractor", f"{__name__}:frames", "--dry-run"], spark) == 0
+    assert "old.mov" in capsys.readouterr().out
