@@ -2,7 +2,8 @@
 
 Labelled examples are TF-IDF vectors over all terms that `SUPPORT` of them hold; words, and the first letters of longer
 words, are terms, and a count is a weight as it is. Each term has an inverted list of the examples that hold it, and with it
-the largest weight in each block of `BLOCK` examples. A text's terms are taken by falling share in the best possible score:
+the largest weight in each block of `BLOCK` examples; the lists of the most frequent terms are kept as rows and summed first.
+A text's other terms are taken by falling share in the best possible score:
 their lists are summed until what all terms left could add lies below the K-th best sum, so no example that was not met can be
 among the `K` nearest; of those met, only examples whose sum and the bound of their block for the terms left reach
 that far are scored in full. So the neighbours by cosine are exact. (A term that fewer examples hold would lengthen a text's
@@ -93,6 +94,7 @@ class Index:
         bare = [(y, rate[0] if y else rate[1]) for _, y, t, _ in examples if not len(t)]
         self.empty = sum(y * w for y, w in bare) / sum(w for _, w in bare) if bare else float(np.average(self.y, weights=self.weight)) if len(rows) else 0.0
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self._rows: tuple[np.ndarray, np.ndarray] | None = None  # made where it is used
 
     def _vector(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = counts * self.idf[t]
@@ -112,14 +114,32 @@ class Index:
         part = slice(self.row[k], self.row[k + 1])
         return self.term[part].astype(np.int64), self.weights[part].astype(np.float64)
 
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of a thirty-second of all examples or more, as rows: which row a term has, or -1; and the rows."""
+        if self._rows is None:
+            n = np.diff(self.list)
+            some = np.flatnonzero(n >= max(64, len(self.y) // 32))
+            often, rows = np.full(len(n), -1, np.int32), np.zeros((len(some), len(self.y)), np.float32)
+            often[some] = np.arange(len(some))
+            at, size = _lists(self.list, some)
+            rows[np.repeat(np.arange(len(some)), size), self.who[at]] = self.impact[at]
+            self._rows = often, rows
+        return self._rows
+
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest examples and their cosines, best first."""
+        often, rows = self._frequent()
+        f = often[t]
+        got = (w[f >= 0].astype(np.float32) @ rows[f[f >= 0]]).astype(np.float64) if (f >= 0).any() else np.zeros(len(self.y))
+        whole, t, w = (t, w), t[f < 0], w[f < 0]
         most = w * self.top[t]
         by = np.argsort(-most, kind="stable")
         t, w, most = t[by], w[by], most[by]
         rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
         entries = np.cumsum(self.list[t + 1] - self.list[t])
-        got, done, least, slack = np.zeros(len(self.y)), 0, 0.0, 1e-5
+        done, least, slack = 0, 0.0, 1e-5
+        if len(got) > K + 1:
+            least = float(np.partition(got, -K - 1)[-K - 1])
         while done < len(t) and (rest[done] >= least - slack):
             upto = max(int(np.searchsorted(entries, (entries[done - 1] if done else 0) + STEP)), done + 1)
             at, n = _lists(self.list, t[done:upto])
@@ -136,7 +156,7 @@ class Index:
         if not len(near):
             return near, np.zeros(0)
         mine = np.zeros(len(self.top))
-        mine[t] = w
+        mine[whole[0]] = whole[1]
         at, n = _lists(self.row, near)
         cos = np.add.reduceat(mine[self.term[at]] * self.weights[at], np.cumsum(n) - n).round(7)
         best = np.lexsort((near, -cos))[:K]
