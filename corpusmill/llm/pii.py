@@ -2,14 +2,15 @@
 
 Emails, network addresses, payment cards and telephone numbers are found by pattern in every text: the protected
 entities. How strongly a term reveals an entity is their pointwise mutual information over the different texts of the
-corpus: with n texts, of which n(e) hold the entity, n(t) the term and n(t, e) the term near the entity,
+corpus: with n texts, of which n(e) hold the entity, n(t) the term and n(t, e) both,
 log2(n n(t, e) / (n(t) n(e))). It is at most the entity's information, log2(n / n(e)), which a term reaches that occurs
-wherever the entity does and nowhere else. A term near an entity is removed where it discloses at least `REMOVE` of that
-information and generalised from `GENERALISE` up, if at least `SUPPORT` different texts show it there. Copies of a text
+wherever the entity does and nowhere else. A term in an entity's text is removed where it discloses at least `REMOVE` of that
+information and generalised from `GENERALISE` up, if at least `SUPPORT` different texts hold both. Copies of a text
 count once in all four numbers.
 
 Terms are the text's words without the marks around them, in lower case; words that a pattern's span touches are none.
-Near an entity are the `NEAR` words before and after it that are left.
+Every word of a text counts with every entity of it, however far apart. n(t, e) is at most n(t) and n(e), so pairs that by these two
+cannot reach `SUPPORT` or `GENERALISE` are never made.
 
 Spans are kind:start:end in code points, end exclusive; the method's kinds are `general` and `remove`. They never
 overlap pattern spans.
@@ -21,17 +22,20 @@ whatever their names, pass through `sanitise`.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, columns_of, free, named, written
+from .common import SPACE, columns_of, const_array, free, named, written
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 6
+#: Words before and after an entity that are near it: all of its text.
+NEAR = sys.maxsize
 SUPPORT = 3
 CUT = 4096
+MOST_BITS = 1 << 21
 GENERALISE, REMOVE = 0.6, 0.9
 ALL_KINDS = (*KINDS, "general", "remove")
 #: Each finds the leftmost matches of its plain form, but in linear time: a run of characters is tried from its start (or
@@ -140,8 +144,8 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), EDGES, "")
 
 
-def with_near(found: DataFrame) -> DataFrame:
-    """found (text, _spans) with _near: for each span and each of the words near it, (entity, start, end, term)."""
+def with_terms(found: DataFrame) -> DataFrame:
+    """found (text, _spans) with _terms: (start, end, hash of the term) of each word that no span touches, where the text has spans."""
     rows = found.withColumn("_t", F.when(F.size("_spans") > 0, F.col("text")))
     rows = rows.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("_at", _ends(F.split("_t", WORD), F.col("_w")))
@@ -150,46 +154,64 @@ def with_near(found: DataFrame) -> DataFrame:
     over = _rank(F.transform("_at", lambda a: a["start"]), stops, True)
     # no span touches a word before whose end as many spans began as have ended at its start
     words = F.filter(F.arrays_zip(F.col("_at").alias("a"), F.col("_w").alias("w"), begun.alias("b"), over.alias("o")), lambda x: x["b"] == x["o"])
-    rows = rows.withColumn("_free", F.transform(words, lambda x: F.struct(x["a"]["start"].alias("start"), (x["a"]["start"] + x["a"]["m"]).alias("end"), x["w"].alias("w"))))
-    rows = rows.withColumn("_rank", _rank(begins, F.transform("_free", lambda x: x["start"]), False))
-
-    def near(s: Column, r: Column) -> Column:
-        words = F.concat(F.slice("_free", F.greatest(r - NEAR, F.lit(0)) + 1, F.least(r, F.lit(NEAR))), F.slice("_free", r + 1, F.lit(NEAR)))
-        return F.transform(words, lambda x: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), x["start"].alias("start"), x["end"].alias("end"), stripped(x["w"]).alias("term")))
-
-    made = F.flatten(F.zip_with("_spans", "_rank", near))
-    return rows.withColumn("_near", F.filter(made, lambda x: F.length(x["term"]) > 1)).drop("_t", "_w", "_at", "_free", "_rank")
-
-
-def disclosures(docs: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, t, share): hashes of terms that SUPPORT different texts show near the entity, with the share of its
-    information that they disclose, if that is GENERALISE or more."""
-    n = base.select("tkey").distinct().count()
-    pairs = near.groupBy("entity", F.xxhash64("term").alias("t")).agg(F.count_distinct("tkey").alias("n_te"))
-    pairs = written(pairs.filter(F.col("n_te") >= SUPPORT), "pii-pairs")
-    held = base.select("tkey", F.explode("_spans").alias("s")).select("tkey", F.xxhash64("s.kind", "s.value").alias("entity"))
-    entity = held.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("tkey").alias("n_e"))
-    asked = written(pairs.select("t").distinct(), "pii-terms")
-    words = F.array_distinct(F.split(stripped(F.coalesce("text", F.lit(""))), SPACE))
-    every = docs.select(F.xxhash64("text").alias("tkey"), F.explode(words).alias("w")).select("tkey", F.xxhash64("w").alias("t"))
-    term = every.join(asked, "t", "left_semi").groupBy("t").agg(F.count_distinct("tkey").alias("n_t"))
-    p = pairs.join(entity, "entity").join(term, "t")
+    made = F.transform(words, lambda x: F.struct(x["a"]["start"].alias("start"), (x["a"]["start"] + x["a"]["m"]).alias("end"), stripped(x["w"]).alias("w")))
+    rows = rows.withColumn("_free", F.filter(made, lambda x: F.length(x["w"]) > 1))
+    return rows.withColumn("_terms", F.transform("_free", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(x["w"]).alias("t")))).drop("_t", "_w", "_at", "_free")
+
+
+def _marked(keys: DataFrame) -> Column:
+    """Whether tkey is, or shares a bit with, one of the keys (tkey): a bit filter of 64 bits a key or more, up to MOST_BITS."""
+    size = min(MOST_BITS, max(64, 1 << (64 * keys.count()).bit_length()))
+    place, bit = F.floor(F.pmod("tkey", F.lit(size)) / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(tkey, 64) as int))")
+    bits = [0] * (size // 64)
+    for r in keys.groupBy(place.alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    return F.get(const_array(bits), place).bitwiseAND(bit) != 0
+
+
+def disclosures(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(tkey, t, share): hashes of the terms of each text that give away one of its entities, with the largest share of an
+    entity's information that they disclose, if that is GENERALISE or more."""
+    copies = written(base.groupBy("tkey").agg(F.count("*").alias("rows")), "pii-copies")
+    n = copies.count()
+    held = written(base.select("tkey", F.explode("_spans").alias("s")).select("tkey", F.xxhash64("s.kind", "s.value").alias("entity")).distinct(), "pii-held")
+    entity = held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT).withColumnRenamed("entity", "_e")
+    held = written(held.join(entity, F.col("entity") == F.col("_e")).select("tkey", "entity", "n_e"), "pii-entities")
+    words = base.join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode(F.array_distinct(F.transform("_terms", lambda x: x["t"]))).alias("t"))
+    words = written(words.distinct(), "pii-words")
     info = F.log2(F.lit(float(max(n, 2))) / F.least(F.col("n_e"), F.lit(max(n - 1, 1))))
+    enough = lambda n_te, n_t: F.log2(n_te * float(n) / (F.col("n_e") * n_t)) >= GENERALISE * info - 1e-9
+    # of all texts with a term no fewer hold it than of those with entities, and of these no fewer than hold both
+    most = held.agg(F.max("n_e")).first()[0] or SUPPORT
+    among = words.groupBy("t").agg(F.count("*").alias("n_w")).filter(F.col("n_w") >= SUPPORT)
+    among = among.withColumn("n_e", F.lit(most)).filter(enough(F.least("n_e", "n_w"), F.col("n_w"))).drop("n_e")
+    both = held.join(words.join(among, "t"), "tkey").filter(enough(F.least("n_e", "n_w"), F.col("n_w")))
+    pairs = both.groupBy("entity", "t", "n_e", "n_w").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    pairs = written(pairs.filter(enough(F.col("n_te"), F.col("n_w"))).drop("n_w"), "pii-pairs")
+    asked = written(pairs.select("t").distinct(), "pii-terms")
+    every = F.array_distinct(F.split(stripped(F.coalesce("text", F.lit(""))), SPACE))
+    every = docs.select(F.xxhash64("text").alias("tkey"), F.explode(every).alias("w")).select("tkey", F.xxhash64("w").alias("t"))
+    # a text that has no copies counts where it is read; only texts that may have some are told apart
+    one = F.when(_marked(copies.filter("rows > 1").select("tkey")), F.col("tkey"))
+    term = every.join(asked, "t", "left_semi").select("t", one.alias("copied")).groupBy("t")
+    term = term.agg((F.count_distinct("copied") + F.count(F.when(F.col("copied").isNull(), 1))).alias("n_t"))
     share = F.log2(F.col("n_te") * float(n) / (F.col("n_e") * F.col("n_t"))) / info
-    return p.select("entity", "t", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    told = pairs.join(term, "t").select("entity", "t", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    told = written(told, "pii-told")
+    hits = words.join(told, "t").join(held.select("tkey", "entity"), ["tkey", "entity"])
+    return hits.groupBy("tkey", "t").agg(F.max("share").alias("share"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, _spans, _more): pattern spans of every row, and the method's."""
-    found = with_near(with_base_spans(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")))
+    found = with_terms(with_base_spans(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")))
     base = written(found.drop("text"), "pii-base")  # the texts are matched once
-    near = base.select("doc_id", "tkey", F.explode("_near").alias("x")).select("doc_id", "tkey", "x.*")
-    told = disclosures(docs, base, near).withColumnsRenamed({"entity": "_e", "t": "_t"})
-    hits = near.join(told, (F.col("entity") == F.col("_e")) & (F.xxhash64("term") == F.col("_t")))
-    hits = hits.groupBy("doc_id", "tkey", "start", "end").agg(F.max("share").alias("share"))
+    told = written(disclosures(docs, base).withColumnsRenamed({"tkey": "_k", "t": "_t"}), "pii-hits")
+    near = base.join(told.select("_k").distinct(), F.col("tkey") == F.col("_k"), "left_semi").select("doc_id", "tkey", F.explode("_terms").alias("x"))
+    hits = near.select("doc_id", "tkey", "x.*").distinct().join(told, (F.col("tkey") == F.col("_k")) & (F.col("t") == F.col("_t")))
     kind = F.when(F.col("share") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
     more = hits.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("_more"))
-    out = base.drop("_near").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_k")), "left")
+    out = base.drop("_terms").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_k")), "left")
     return out.select("doc_id", "tkey", "_spans", F.coalesce("_more", F.array().cast(f"array<{SPAN}>")).alias("_more"))
 
 
