@@ -5,7 +5,8 @@ some set of segments differs by one bit at most; each set is indexed once for ev
 meet in an equality join, where the distance is verified. Of the keys that a pair shares, only the first emits it.
 
 Copies share a fingerprint and are joined by it, never paired. Links go through alternating star contraction, a table
-in the shared folder for each round, so nothing but two numbers a round reaches the driver.
+in the shared folder for each round, so nothing but two numbers a round reaches the driver: tables that grow with the input
+are joined by shuffle and sort (the hint `merge`), since Spark would build those of a few MB on the driver to broadcast them.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like others; a text of fewer words
 than a shingle is one shingle; repeated rows get equal results; ids may repeat or be null (a component of null ids
@@ -124,7 +125,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, rows: int | None = None) ->
     for i, mask in enumerate(sets[:-1]):
         is_first &= (F.get(of_set, tag) <= i) | (F.bit_count(x.bitwiseAND(F.lit(_signed(mask)))) > 1)
     verified = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & is_first
-    return a.join(b, (F.col("t") == F.col("u")) & (F.col("k") == F.col("l")) & verified).select("a", "b")
+    return a.join(b.hint("merge"), (F.col("t") == F.col("u")) & (F.col("k") == F.col("l")) & verified).select("a", "b")
 
 
 def contract(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -135,9 +136,9 @@ def contract(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         seen, before = mark(e), seen
         if seen == before:
@@ -151,12 +152,12 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ids = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-ids")
     root = contract(links(ids.select("fp"), distance))
     linked = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
-    linked = linked.join(ids, F.col("node") == ids.fp).select("node", "root", "id")
+    linked = linked.join(ids.hint("merge"), F.col("node") == ids.fp).select("node", "root", "id")
     least = linked.groupBy("root").agg(F.min("id").alias("low"))
-    linked = linked.join(least, "root").select("node", "low", "root")
-    by_fp = ids.join(linked, ids.fp == F.col("node"), "left").select(ids.fp.alias("_fp"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", ids.fp).alias("root"))
+    linked = linked.join(least.hint("merge"), "root").select("node", "low", "root")
+    by_fp = ids.join(linked.hint("merge"), ids.fp == F.col("node"), "left").select(ids.fp.alias("_fp"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", ids.fp).alias("root"))
     by_fp = written(by_fp, "simhash-roots")  # a plain table on either side of the join, so Spark can split a hot fingerprint
-    return rows.join(by_fp, rows.fp == F.col("_fp")).select("doc_id", "tkey", "fp", "component_id", "root")
+    return rows.join(by_fp.hint("merge"), rows.fp == F.col("_fp")).select("doc_id", "tkey", "fp", "component_id", "root")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one row of each component of found (doc_id, tkey, root): that of the smallest id, null last."""
     i, k = free(docs, "_id", "_tkey")
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.tkey").alias(k))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)))
+    rows = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)))
     return rows.dropDuplicates([i, k]).select(*columns_of(docs))
 
 
