@@ -45,11 +45,20 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs one read."""
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, keep: bool = False, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs one read. With `release`,
+    Spark deletes the shuffle files when the table is there, without waiting for the driver to collect garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, str(release or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     if _scopes and not keep:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, free, named, settle, written
+from .common import columns_of, free, named, written
 
 WINDOW = 13
 DEEP = 12  # symbols of a suffix: 48 bits
@@ -390,8 +390,7 @@ def places(docs: DataFrame) -> DataFrame:
     if not prefixes.groups:
         return docs.sparkSession.createDataFrame([], "id long, key long, at array<int>")
     packed = _rows(docs).mapInPandas(lambda b: _suffixes(b, prefixes), "gid long, tree boolean, blob binary, id long, key long")
-    found = written(packed.groupBy("gid").applyInPandas(_subtree, "id long, key long, at array<int>, settled boolean"), "substring-candidates")
-    settle(docs.sparkSession)
+    found = written(packed.groupBy("gid").applyInPandas(_subtree, "id long, key long, at array<int>, settled boolean"), "substring-candidates", release=True)
     sure, open_ = found.filter("settled").drop("settled"), found.filter("not settled")
     total = open_.agg(F.sum(F.size("at"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-total // CAPACITY))
@@ -399,9 +398,7 @@ def places(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(at, _key(docs, "id", "key")).dropDuplicates(["id", "key"]).select("id", "key", "text", "at")
     digests = texts.mapInPandas(lambda b: _digests(b, groups), "gid long, blob binary")
     proven = digests.groupBy("gid").applyInPandas(_proven, "id long, key long, at array<int>")
-    out = written(proven.unionByName(sure), "substring-places")
-    settle(docs.sparkSession)
-    return out
+    return written(proven.unionByName(sure), "substring-places", release=True)
 
 
 def _covered(at: np.ndarray | None, n: int) -> np.ndarray:
