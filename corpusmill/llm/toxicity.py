@@ -6,7 +6,7 @@ the largest weight in each block of `BLOCK` examples; the lists of the most freq
 A text's other terms are taken by falling share in the best possible score:
 their lists are summed until what all terms left could add lies below the K-th best sum, so no example that was not met can be
 among the `K` nearest; of those met, only examples whose sum and the bound of their block for the terms left reach
-that far are scored in full. So the neighbours by cosine are exact. (A term that fewer examples hold would lengthen a text's
+that far are scored in full, after the lists left where these are shorter than such examples. So the neighbours by cosine are exact. (A term that fewer examples hold would lengthen a text's
 vector, thus scale all its cosines alike; within an example it counts as noise.)
 Votes, weighted by squared cosine, give a raw score, which a curve learned leave-one-out on the examples turns into
 a probability. The neighbours are returned as evidence.
@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,21 @@ K = 25
 BLOCK = 64
 STEM = 5
 STEP = 8192  # list entries that are summed between two looks at the bound
+GATHER = 32  # frequent terms' rows that are summed at once
+TEXTS = 64  # texts whose most frequent terms are summed in one product
 WORD = re.compile(r"[^\W\d_]+")
+NO_LETTER = {c: " " for c in range(128) if not WORD.match(chr(c))}
+
+
+def split(text: str | None) -> list[str]:
+    """The words in lower case. An ASCII text has them between characters that are no letters, which is found faster."""
+    low = (text or "").lower()
+    return low.translate(NO_LETTER).split() if low.isascii() else WORD.findall(low)
 
 
 def terms(text: str | None) -> Counter:
     """Counts of words; of longer words also, marked, of the first letters."""
-    words = Counter(WORD.findall((text or "").lower()))
+    words = Counter(split(text))
     stems: Counter = Counter()
     for w, n in words.items():
         if len(w) > STEM:
@@ -115,54 +125,94 @@ class Index:
         return self.term[part].astype(np.int64), self.weights[part].astype(np.float64)
 
     def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lists of a thirty-second of all examples or more, as rows: which row a term has, or -1; and the rows."""
+        """Lists of a thirty-second of all examples or more, as rows, the longest first: which row a term has, or -1; and the rows."""
         if self._rows is None:
             n = np.diff(self.list)
             some = np.flatnonzero(n >= max(64, len(self.y) // 32))
+            some = some[np.argsort(-n[some], kind="stable")]
+            self._head = int((n[some] >= len(self.y) // 10).sum())
             often, rows = np.full(len(n), -1, np.int32), np.zeros((len(some), len(self.y)), np.float32)
             often[some] = np.arange(len(some))
             at, size = _lists(self.list, some)
             rows[np.repeat(np.arange(len(some)), size), self.who[at]] = self.impact[at]
-            self._rows = often, rows
+            self._rows, self._part = (often, rows), np.zeros((GATHER, len(self.y)), np.float32)
         return self._rows
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples and their cosines, best first."""
+    def _listed(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Each example's sum over the lists of these terms."""
+        at, n = _lists(self.list, t)
+        return np.bincount(self.who[at], self.impact[at] * np.repeat(w, n), len(self.y))
+
+    def heads(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each vector, each example's sum over the terms that a tenth of the examples hold."""
         often, rows = self._frequent()
+        w = np.zeros((len(vectors), self._head), np.float32)
+        for k, (t, x) in enumerate(vectors):
+            f = often[t]
+            here = (f >= 0) & (f < self._head)
+            w[k, f[here]] = x[here]
+        return w @ rows[: self._head]
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples and their cosines, best first. head: the vector's row of `heads`."""
+        often, rows = self._frequent()
+        first = self.heads([(t, w)])[0] if head is None else head
         f = often[t]
-        got = (w[f >= 0].astype(np.float32) @ rows[f[f >= 0]]).astype(np.float64) if (f >= 0).any() else np.zeros(len(self.y))
-        whole, t, w = (t, w), t[f < 0], w[f < 0]
-        most = w * self.top[t]
-        by = np.argsort(-most, kind="stable")
-        t, w, most = t[by], w[by], most[by]
-        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
-        entries = np.cumsum(self.list[t + 1] - self.list[t])
-        done, least, slack = 0, 0.0, 1e-5
-        if len(got) > K + 1:
-            least = float(np.partition(got, -K - 1)[-K - 1])
-        while done < len(t) and (rest[done] >= least - slack):
-            upto = max(int(np.searchsorted(entries, (entries[done - 1] if done else 0) + STEP)), done + 1)
-            at, n = _lists(self.list, t[done:upto])
-            got += np.bincount(self.who[at], self.impact[at] * np.repeat(w[done:upto], n), len(got))
-            done = upto
-            if len(got) > K + 1:  # one of those K + 1 may be skipped
-                least = float(np.partition(got, -K - 1)[-K - 1])
-        bound = got
-        if done < len(t):
-            at, n = _lists(self.block_list, t[done:])
-            bound = got + np.bincount(self.block[at], self.block_top[at] * np.repeat(w[done:], n), len(got) // BLOCK + 1)[np.arange(len(got)) // BLOCK]
-        near = np.flatnonzero((bound >= least - slack) & (got > 0) if least > slack else bound > 0)
+        whole, often, heavy, t, w = (t, w), f[f >= 0], w[f >= 0], t[f < 0], w[f < 0]
+        other = often >= self._head
+        left, x = often[other], heavy[other].astype(np.float32)
+        for k in range(0, len(left), GATHER):
+            part = np.take(rows, left[k : k + GATHER], axis=0, out=self._part[: len(left[k : k + GATHER])], mode="clip")
+            first += x[k : k + GATHER] @ part
+        near, light = self._met(first, t, w)
         near = near[near != skip]
         if not len(near):
             return near, np.zeros(0)
-        mine = np.zeros(len(self.top))
-        mine[whole[0]] = whole[1]
-        at, n = _lists(self.row, near)
-        cos = np.add.reduceat(mine[self.term[at]] * self.weights[at], np.cumsum(n) - n).round(7)
+        if light is not None:  # only the frequent terms' sums, in single precision, are taken again
+            cos = (heavy @ rows[often[:, None], near] + light[near]).round(7)
+        else:
+            mine = np.zeros(len(self.top))
+            mine[whole[0]] = whole[1]
+            at, n = _lists(self.row, near)
+            cos = np.add.reduceat(mine[self.term[at]] * self.weights[at], np.cumsum(n) - n).round(7)
         best = np.lexsort((near, -cos))[:K]
         best = best[cos[best] > 0]
         return near[best], cos[best]
 
+    def _met(self, first: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """With these sums and terms left, the examples that may be among the K nearest; and the terms' sums if all lists were read."""
+        slack = 1e-5
+
+        def least_of(got: np.ndarray) -> float:  # one of those K + 1 may be skipped
+            return float(np.partition(got, -K - 1)[-K - 1]) if len(got) > K + 1 else 0.0
+
+        def all_read(light: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            got = first + light
+            return np.flatnonzero((got >= least_of(got) - slack) & (got > 0)), light
+
+        size = self.list[t + 1] - self.list[t]
+        if size.sum() <= 2 * STEP:  # bounds would cost more than they save
+            return all_read(self._listed(t, w))
+        most = w * self.top[t]
+        by = np.argsort(-most, kind="stable")
+        t, w, most, entries = t[by], w[by], most[by], np.cumsum(size[by])
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        light, got, done, least = np.zeros(len(first)), first, 0, least_of(first)
+        while done < len(t) and (rest[done] >= least - slack):
+            upto = max(int(np.searchsorted(entries, (entries[done - 1] if done else 0) + STEP)), done + 1)
+            light += self._listed(t[done:upto], w[done:upto])
+            got, done = first + light, upto
+            least = least_of(got)
+        if done == len(t):
+            return all_read(light)
+        at, n = _lists(self.block_list, t[done:])
+        bound = got + np.bincount(self.block[at], self.block_top[at] * np.repeat(w[done:], n), len(got) // BLOCK + 1)[np.arange(len(got)) // BLOCK]
+        near = np.flatnonzero((bound >= least - slack) & (got > 0) if least > slack else bound > 0)
+        if (self.row[near + 1] - self.row[near]).sum() > entries[-1] - (entries[done - 1] if done else 0):
+            # the lists left are shorter than the rows of the examples met: with them few examples stay
+            return all_read(light + self._listed(t[done:], w[done:]))
+        return near, None
+
     def votes(self, at: np.ndarray, cos: np.ndarray) -> tuple[float, float]:
         """Share of label 1 in the votes, and their sum."""
         v = cos.astype(np.float64) ** 2 * self.weight[at]
@@ -170,10 +220,19 @@ class Index:
         return (float(v @ self.y[at]) / total if total else 0.0), total
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        t, w = self.vector(text)
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        out = []
+        for k in range(0, len(texts), TEXTS):
+            vectors = [self.vector(t) for t in texts[k : k + TEXTS]]
+            out += [self._scored(t, w, head) for (t, w), head in zip(vectors, self.heads(vectors))]
+        return out
+
+    def _scored(self, t: np.ndarray, w: np.ndarray, head: np.ndarray) -> tuple[float, list[dict]]:
         if not len(t) or not len(self.y):
             return self.empty, []
-        at, cos = self.nearest(t, w)
+        at, cos = self.nearest(t, w, head=head)
         if not len(at):
             return self.empty, []
         raw, _ = self.votes(at, cos)
@@ -214,14 +273,10 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[
 
 def encode(at: dict[str, int], text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the text's terms, ascending, and their counts."""
-    found: dict[int, int] = {}
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        if (k := at.get(w)) is not None:
-            found[k] = found.get(k, 0) + n
-        if len(w) > STEM and (k := at.get("^" + w[:STEM])) is not None:
-            found[k] = found.get(k, 0) + n
-    t = np.array(sorted(found), np.int64)
-    return t, np.array([found[k] for k in t.tolist()], np.float64)
+    words = split(text)
+    found = np.array([*map(at.get, words, repeat(-1)), *map(at.get, ["^" + w[:STEM] for w in words if len(w) > STEM], repeat(-1))], np.int64)
+    t, n = np.unique(found[found >= 0], return_counts=True)
+    return t, n.astype(np.float64)
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Index:
@@ -278,12 +333,9 @@ def frequencies(documents: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int
         for b in batches:
             for text in b["text"]:
                 docs += 1
-                found = set()
-                for w in set(WORD.findall((text or "").lower())):
-                    if w in at:
-                        found.add(at[w])
-                    if len(w) > STEM and (k := at.get("^" + w[:STEM])) is not None:
-                        found.add(k)
+                words = set(split(text))
+                found = {*map(at.get, words), *map(at.get, {"^" + w[:STEM] for w in words if len(w) > STEM})}
+                found.discard(None)
                 n[list(found)] += 1
         k = np.flatnonzero(n)
         yield pd.DataFrame({"k": np.concatenate([[-1], k]), "n": np.concatenate([[docs], n[k]])})
@@ -297,7 +349,7 @@ def frequencies(documents: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int
 def scorer(index: Index) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            got = [index.score(t) for t in texts]
+            got = index.scores(list(texts))
             yield pd.DataFrame({"score": [s for s, _ in got], "evidence": [e for _, e in got]})
 
     return F.pandas_udf(score, "score double, evidence array<struct<doc_id: long, similarity: double, label: int>>")
