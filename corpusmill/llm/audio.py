@@ -3,8 +3,8 @@
 A recording's spectrum is folded into twelve pitch classes per frame. Filters over the integral image of these frames compare
 two areas each; the logarithm of their ratio gives two bits, and the sixteen filters a packed 32-bit integer per frame. Two
 recordings are aligned where integers agree: every integer but those of silence, and of a run of equal ones the first, gives four
-keys, each three of its four bytes, so bits may be wrong in the fourth. Keys that two recordings share vote for an offset, and
-every offset voted for is verified by bit errors: the stretch along it with the fewest errors must be LEAST integers long, with
+keys, each three of its four bytes, so bits may be wrong in the fourth. Keys that two recordings share vote for an offset (in tasks
+that hold a cell of either side), and every offset voted for is verified by bit errors: the stretch along it with the fewest errors must be LEAST integers long, with
 at most MOST_ERROR of its bits wrong.
 
 Recordings of equal fingerprints form a class, and classes are aligned, not copies: links are rows between class
@@ -36,6 +36,8 @@ STEP = 0.25  # log ratios beyond this, either way, are the outer two of four cla
 PARTS = (0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00)  # bytes of an integer that make a key
 LEAST, MOST_ERROR = 16, 0.2
 LONG = 1 << 21  # samples that are transformed at once
+INTS, LEAST_CELLS = 200_000, 24
+MATCHES, CELLS = 1 << 20, 1 << 19  # shared keys, and integers compared, at once
 
 
 def decode(raw: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -174,17 +176,93 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int, float]
     return low + start, n, float(wrong[start:end].sum() / (32 * n)) if n else 1.0
 
 
-def _stretches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of a pair's offsets, that of the best stretch: the longest with the fewest errors."""
-    for a, b, o in batches:
-        out = []
-        for x, y, offsets in zip(a, b, o):
-            x, y = np.asarray(x, np.int32), np.asarray(y, np.int32)
-            got = [(*stretch(x, y, z), z) for z in sorted(np.asarray(offsets).tolist(), key=lambda z: (abs(z), -z))]
-            good = [g for g in got if g[1] >= LEAST and g[2] <= MOST_ERROR]
-            best = max(good, key=lambda g: g[1] * (MOST_ERROR * 1.25 - g[2]), default=(0, 0, 1.0, 0))
-            out.append((best[3], *best[:3]))
-        yield pd.DataFrame(out, columns=["offset", "start", "length", "error"])
+class Prints:
+    """Fingerprints end to end: ints of row k are flat[first[k]:][:size[k]]; and each key's row, place and values by part."""
+
+    def __init__(self, ints: list, keys: list):
+        none = np.zeros(0, np.int32)
+        self.size, n = np.array([len(x) for x in ints], np.int64), np.array([len(x) for x in keys], np.int64)
+        self.flat, self.first = np.concatenate([none, *ints]).astype(np.int32), np.cumsum(self.size) - self.size
+        row, at = np.repeat(np.arange(len(keys)), n), np.concatenate([none, *keys]).astype(np.int64)
+        whole = self.flat[self.first[row] + at].view(np.uint32).astype(np.uint64)
+        self.key = np.stack([(np.uint64(i) << np.uint64(32)) | (whole & np.uint64(m)) for i, m in enumerate(PARTS)], 1).ravel()
+        self.row, self.at = np.repeat(row, len(PARTS)), np.repeat(at, len(PARTS))
+
+
+def votes(a: Prints, b: Prints) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a and b that share a key, and the offset; some MATCHES at a time, so an offset may come again."""
+    order = np.argsort(a.key, kind="stable")
+    own = a.key[order]
+    left = np.searchsorted(own, b.key)
+    n = np.searchsorted(own, b.key, "right") - left
+    some = np.flatnonzero(n)
+    upto = np.cumsum(n[some])
+    most = int(a.size.max(initial=0))
+    wide = most + int(b.size.max(initial=0)) + 1
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MATCHES, "right")))
+        k = some[at:end]
+        x = order[np.repeat(left[k] - np.cumsum(n[k]) + n[k], n[k]) + np.arange(n[k].sum())]
+        y = np.repeat(k, n[k])
+        code = np.unique((b.row[y] * len(a.size) + a.row[x]) * wide + b.at[y] - a.at[x] + most)
+        pair, offset = code // wide, code % wide - most
+        yield pair % len(a.size), pair // len(a.size), offset
+        at = end
+
+
+def stretches(a: Prints, b: Prints, i: np.ndarray, j: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`stretch` of a's rows i against b's rows j, each at its offset: starts, lengths, errors."""
+    low = np.maximum(0, -offset)
+    n = np.minimum(a.size[i], b.size[j] - offset) - low
+    start, length, error = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.ones(len(i))
+    by = np.argsort(n, kind="stable")
+    by = by[np.searchsorted(n[by], 1) :]
+    at = 0
+    while at < len(by):  # by size, so little is padded
+        end = max(at + 1, at + CELLS // int(n[by[at]] + 1))
+        end = max(at + 1, at + CELLS // int(n[by[min(end, len(by)) - 1]] + 1))
+        k = by[at:end]
+        at = end
+        col = np.arange(int(n[k].max()))
+        inside = col < n[k][:, None]
+        x = np.where(inside, (a.first[i[k]] + low[k])[:, None] + col, 0)
+        y = np.where(inside, (b.first[j[k]] + low[k] + offset[k])[:, None] + col, 0)
+        wrong = np.bitwise_count(a.flat[x] ^ b.flat[y]).astype(np.int64)
+        run = np.zeros((len(k), len(col) + 1))
+        np.cumsum(32 * MOST_ERROR * 1.25 - wrong, axis=1, out=run[:, 1:])
+        run[:, 1:][~inside] = -np.inf
+        last = (run - np.minimum.accumulate(np.where(run == -np.inf, np.inf, run), axis=1)).argmax(1)
+        begin = np.where(np.arange(len(col) + 1) <= last[:, None], run, np.inf).argmin(1)
+        sums = np.concatenate([np.zeros((len(k), 1), np.int64), np.cumsum(wrong, axis=1)], axis=1)
+        here, m = np.arange(len(k)), last - begin
+        start[k], length[k] = low[k] + begin, m
+        error[k] = np.where(m > 0, (sums[here, last] - sums[here, begin]) / np.maximum(32 * m, 1), 1.0)
+    return start, length, error
+
+
+LINK = "class_key string, class_id long, match_key string, match_id long, offset int, start int, length int, error double"
+
+
+def _links(asked: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+    """Of each two classes that share keys, the offset of the best stretch: the longest with the fewest errors."""
+    a, b = (Prints(list(c["ints"]), list(c["keys"])) for c in (asked, every))
+    same = {k: n for n, k in enumerate(asked["class_key"])}
+    itself = np.array([same.get(k, -1) for k in every["class_key"]], np.int64)
+    got = [np.zeros((6, 0))]
+    for i, j, offset in votes(a, b):
+        low = np.maximum(0, -offset)
+        long = (np.minimum(a.size[i], b.size[j] - offset) - low >= LEAST) & (itself[j] != i)  # no shorter overlap has such a stretch
+        i, j, offset = i[long], j[long], offset[long]
+        start, n, error = stretches(a, b, i, j, offset)
+        good = (n >= LEAST) & (error <= MOST_ERROR)
+        got.append(np.stack([x[good] for x in (i, j, offset, start, n, error)]))
+    i, j, offset, start, n, error = np.concatenate(got, axis=1)
+    order = np.lexsort((-offset, np.abs(offset), -n * (MOST_ERROR * 1.25 - error), j, i))
+    best = order[np.flatnonzero((np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0))]
+    i, j = i[best].astype(np.int64), j[best].astype(np.int64)
+    ids = {"class_key": asked["class_key"].to_numpy()[i], "class_id": asked["class_id"].astype("Int64").array[i], "match_key": every["class_key"].to_numpy()[j], "match_id": every["class_id"].astype("Int64").array[j]}
+    return pd.DataFrame(ids | {"offset": offset[best].astype(np.int32), "start": start[best].astype(np.int32), "length": n[best].astype(np.int32), "error": error[best]})
 
 
 def classes(recordings: DataFrame) -> DataFrame:
@@ -198,21 +276,19 @@ def class_key(ints: Column) -> Column:
 
 
 def align(asked: DataFrame, every: DataFrame) -> DataFrame:
-    """Classes against classes: (class_key, class_id, match_key, match_id, offset, start, length, error), a row for each pair that aligns."""
-
-    def keyed(c: DataFrame, p: str) -> DataFrame:
-        at = c.select(F.col("class_key").alias(f"{p}c"), F.explode("keys").alias(f"{p}at"), "ints")
-        whole = F.get("ints", F.col(f"{p}at"))
-        parts = F.array(*[F.struct(F.lit(i).alias("part"), whole.bitwiseAND(F.lit(m - (1 << 32) if m >> 31 else m).cast("int")).alias("value")) for i, m in enumerate(PARTS)])
-        return at.select(f"{p}c", f"{p}at", F.explode(parts).alias("k")).select(f"{p}c", f"{p}at", F.col("k.part").alias(f"{p}part"), F.col("k.value").alias(f"{p}key"))
-
-    met = keyed(asked, "a").join(keyed(every, "b"), (F.col("apart") == F.col("bpart")) & (F.col("akey") == F.col("bkey")) & (F.col("ac") != F.col("bc")))
-    votes = met.select("ac", "bc", (F.col("bat") - F.col("aat")).alias("offset")).distinct()
-    pairs = votes.groupBy("ac", "bc").agg(F.collect_list("offset").alias("offsets"))
-    a, b = (c.select(F.col("class_key").alias(f"{p}c"), F.col("class_id").alias(f"{p}id"), F.col("ints").alias(f"{p}ints")) for c, p in ((asked, "a"), (every, "b")))
-    s = F.pandas_udf(_stretches, "offset int, start int, length int, error double")("aints", "bints", "offsets")
-    rows = pairs.join(a, "ac").join(b, "bc").select("ac", "aid", "bc", "bid", s.alias("s")).filter(F.col("s.length") > 0)
-    return rows.select(F.col("ac").alias("class_key"), F.col("aid").alias("class_id"), F.col("bc").alias("match_key"), F.col("bid").alias("match_id"), "s.*")
+    """Classes against classes: (class_key, class_id, match_key, match_id, offset, start, length, error), a row for each pair that aligns.
+
+    Both sides are dealt to cells of some INTS integers, and every cell of asked classes meets every cell of classes in one task,
+    which looks up shared keys and verifies. So rows are classes and links, never the pairs that only share a key.
+    """
+    ints = lambda c: c.agg(F.sum(F.size("ints"))).first()[0] or 0
+    wide, deep = -(-ints(asked) // INTS) or 1, max(LEAST_CELLS, -(-ints(every) // INTS))
+    cell = lambda n: F.pmod(F.xxhash64("class_key"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    columns = [F.col("class_id").cast("long").alias("class_id"), *[F.col(c).alias(c) for c in ("class_key", "ints", "keys")]]
+    a = asked.select(*columns, cell(wide).alias("across"), each(deep).alias("down"))
+    b = every.select(*columns, each(wide).alias("across"), cell(deep).alias("down"))
+    return a.groupBy("across", "down").cogroup(b.groupBy("across", "down")).applyInPandas(_links, LINK)
 
 
 def report(recordings: DataFrame, every_nth: int = 50) -> DataFrame:
