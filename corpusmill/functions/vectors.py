@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -62,25 +60,12 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 METRICS = {
-    "cosine": lambda q, v: _safe(q) @ _safe(v).T,
+    "cosine": lambda q, v: unit_rows(q) @ unit_rows(v).T,
     "dot": lambda q, v: q @ v.T,
     "euclidean": lambda q, v: -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T, 0)),
 }
 
 
-def _safe(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n > 0, n, 1)
-
-
-def top_in_batches(batches: Iterator[pd.DataFrame], ids: list, queries: np.ndarray, k: int, metric: str) -> Iterator[pd.DataFrame]:
-    """Each batch's k best rows for each query: what leaves a task is bounded by queries and k, not by its rows."""
-    for b in batches:
-        if not len(b):
-            continue
-        score = np.round(METRICS[metric](queries, matrix(b["vec"])), 6) + 0.0
-        chunk = b["chunk_id"].to_numpy()
-        n = min(k, score.shape[1])
-        by_id = np.argsort(chunk, kind="stable")
-        order = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :n]]
-        yield pd.DataFrame({"query_id": np.repeat(np.array(ids), n), "chunk_id": chunk[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})

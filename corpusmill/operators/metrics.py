@@ -32,8 +32,12 @@ def _gain() -> Column:
     return 1 / F.log2(F.col("rank") + 1.0)
 
 
-def per_query(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """(query_id, metric, k, value): recall, precision, ndcg, f1 and hit at each k; mrr and ap with k null."""
+def per_query(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS, total: DataFrame | None = None) -> DataFrame:
+    """(query_id, metric, k, value): recall, precision, ndcg, f1 and hit at each k; mrr and ap with k null.
+
+    Where all pairs of relevant are many, `total` (query_id, total) counts them for every query that has one, and `relevant` may be
+    those among the results.
+    """
     rows = marked(results, relevant)
     new = F.col("hit") & ~F.col("again")
     aggs = [F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit"), F.col("hits") / F.col("rank")).otherwise(0.0)).alias("ap")]
@@ -41,7 +45,8 @@ def per_query(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS)
         inside = new & (F.col("rank") <= k)
         aggs += [F.sum(inside.cast("int")).alias(f"n{k}"), F.sum(F.when(inside, _gain()).otherwise(0.0)).alias(f"g{k}")]
     found = rows.groupBy("query_id").agg(*aggs)
-    total = relevant.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("total"))
+    if total is None:
+        total = relevant.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("total"))
     q = found.join(total, "query_id", "full").withColumn("total", F.coalesce("total", F.lit(0)))
     n = lambda k: F.coalesce(f"n{k}", F.lit(0))
     value = lambda name, k, v: F.struct(F.lit(name).alias("metric"), F.lit(k).cast("int").alias("k"), F.coalesce(v, F.lit(0.0)).cast("double").alias("value"))
